@@ -274,6 +274,12 @@ def test_chat_finds_templates_that_rewrite_history():
 
     out, spans = chat.render([("user", "hi"), ("assistant", "hello"), ("user", "bye")], last_only)
     assert [s["rewrites"] for s in spans] == [False, False, True] and spans[1]["text_start"] is None
+    turns = [(("user", "assistant")[i % 2], f"{i} \\ </s>" * (i % 4)) for i in range(75)]
+    whole = chat.render(turns, chat.default_template, chunk=1000)
+    assert chat.render(turns, chat.default_template, chunk=8) == whole and chat._by_chunks(turns, chat.default_template, 8) == (whole[0], chat._prefixes(turns, chat.default_template)[1])
+    assert chat._by_chunks(turns, last_only, 8) is None and chat.render(turns, last_only, chunk=8) == chat.render(turns, last_only, chunk=1000)
+    numbered = lambda turns: "".join(f"{k}:{r}:{t}\n" for k, (r, t) in enumerate(turns))
+    assert chat._by_chunks(turns, numbered, 8) is None and chat.render(turns, numbered, chunk=8) == chat.render(turns, numbered, chunk=1000)
     out, spans = chat.render([("user", "hi"), ("assistant", "hello")], chat.default_template)
     assert out[spans[1]["text_start"] : spans[1]["text_stop"]] == "hello"
 
