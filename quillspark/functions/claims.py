@@ -1,0 +1,69 @@
+"""Column functions over sentences: kinds, roles, quantities, dates, topics and grounding."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Words of each sensitive category.
+SENSITIVE = {"health": "diagnos|medication|therapy", "finance": "salary|bank account|credit card|iban", "identity": "passport|social security|driver.?s licen[cs]e", "secret": "password|api.?key|private key", "location": "home address|gps"}
+#: Phrases by which evidence tries to steer its reader.
+HOSTILE = ("ignore previous instructions", "ignore all previous", "disregard the above", "you are now", "system prompt", "do not tell the user")
+#: What a question asks for, first match wins.
+OPERATIONS = (
+    ("elapsed_time", "how (many (days|weeks|months)|long)"),
+    ("average", "average|mean "),
+    ("sum", "total|altogether|in all"),
+    ("difference", "difference|how much (more|less)"),
+    ("state_comparison", "compared|versus| vs "),
+    ("event_order", "first|last|before|after"),
+    ("current_state", "currently|now |these days"),
+    ("distinct_count", "how many"),
+    ("list", "list|which|what are"),
+)
+
+
+def sensitive_categories(text: Column) -> Column:
+    """Names of the categories that the text touches, in order."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(k)) for k, p in SENSITIVE.items())))
+
+
+def hostile(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*map(F.lit, HOSTILE)), lambda p: F.contains(low, p))
+
+
+def operation(question: Column) -> Column:
+    low, out = F.lower(F.coalesce(question, F.lit(""))), None
+    for name, pattern in OPERATIONS:
+        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
+    return out.otherwise("direct_lookup")
+
+
+def topic_key(text: Column) -> Column:
+    """Lower-cased, possessives and leading articles dropped, other runs as one underscore."""
+    t = F.regexp_replace(F.lower(F.trim(text)), "'s\\b", "")
+    t = F.regexp_replace(t, "^(the|a|an) ", "")
+    return F.regexp_replace(F.regexp_replace(t, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def quantities(text: Column) -> Column:
+    """Numbers with thousands commas and decimals, as doubles, in order."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?"), 0)
+    return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("double"))
+
+
+def iso_dates(text: Column) -> Column:
+    """ISO dates with dashes or slashes that exist, as text with dashes."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}"), 0)
+    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "/", "-")), lambda x: F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).isNotNull())
+
+
+def key_terms(text: Column, least: int = 4) -> Column:
+    """Distinct lower-cased words of at least ``least`` ASCII letters or digits."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z0-9]{{{least},}}"), 0))
+
+
+def grounded(sentence_terms: Column, evidence_terms: Column, least: int = 3) -> Column:
+    return F.size(F.array_intersect(sentence_terms, evidence_terms)) >= least

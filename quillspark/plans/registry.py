@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import relational, retrieval, text  # noqa: E402,F401  (they register their queries)
+from . import evidence, relational, retrieval, text  # noqa: E402,F401  (they register their queries)
