@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         table = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
+        for batch in tc.small(batches):
             for _, u in _sets(batch):
                 np.add.at(table, (u >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         if table.any():
@@ -108,7 +108,7 @@ def summaries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def each(batches):
         cells = shared.value
-        for batch in batches:
+        for batch in tc.small(batches):
             size, key, stars, prefix = [], [], [], []
             for _, u in _sets(batch):
                 n = len(u)
@@ -146,7 +146,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches):
         table = bits.value
-        for batch in batches:
+        for batch in tc.small(batches):
             at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
             keep = pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
             batch = batch.filter(keep)
@@ -156,7 +156,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     found = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), slot.alias("slot")).mapInArrow(sets, "id long, tokens binary")
 
     def check(batches):
-        for batch in batches:
+        for batch in tc.small(batches, 256):
             keep = []
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

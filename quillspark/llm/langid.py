@@ -112,7 +112,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def each(batches):
         langs, logp = shared.value
-        for batch in batches:
+        for batch in tc.small(batches):
             column = batch.column(batch.schema.get_field_index("text"))
             _, offs = tc.buffers(column)
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)

@@ -117,7 +117,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def each(batches):
         w = shared.value
-        for batch in batches:
+        for batch in tc.small(batches):
             out = np.zeros(batch.num_rows)
             for i, cells, values in features(batch.column(batch.schema.get_field_index("text"))):
                 out[i] = w[cells] @ values + w[-1]

@@ -83,6 +83,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def small(batches, rows: int = 1024):
+    """The batches in slices of ``rows`` rows, which bounds what a worker holds of long texts."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def pieces(offs: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a row is never split."""
     n, a = len(offs) - 1, 0
