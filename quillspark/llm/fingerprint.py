@@ -18,6 +18,7 @@ their text; one document is its own next; a null doc_id sorts first.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import literal_table
 
 SAMPLES = 64
 #: Entries of the quantile tables, as a power of two.
 TABLE_BITS = 16
 #: Terms of whole texts scored at once.
 BLOCK = 1 << 13
-#: Rows of a range of ids, about; ranges at most.
-ROWS_OF_RANGE, MAX_RANGES = 10_000, 4096
+#: Rows of a range of ids, about; ranges at most; ids sampled for each range to set its bounds; cuts looked up by one array.
+ROWS_OF_RANGE, MAX_RANGES, IDS_OF_RANGE, CUTS = 2_500, 1 << 16, 16, 256
 
 
 def _gamma2_quantiles(p: np.ndarray) -> np.ndarray:
@@ -138,28 +140,31 @@ def with_next(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = docs.count()
     n_ranges = max(1, min(MAX_RANGES, -(-n // ROWS_OF_RANGE)))
-    cuts = base.agg(F.percentile_approx("doc_id", [k / n_ranges for k in range(1, n_ranges)], 100 * n_ranges)).first()[0] if n_ranges > 1 else []
-    cuts = sorted(set(cuts or []))
-
-    def range_of(c):
-        """Number of cuts at or below the id, by halves."""
-        if not cuts:
-            return F.lit(0)
-        e = F.array(*map(F.lit, cuts))
-        return F.when(c.isNull(), 0).otherwise(F.size(F.filter(e, lambda x: x <= c))) if len(cuts) < 8 else F.when(c.isNull(), 0).otherwise(_halves(c, cuts, 0, len(cuts)))
-
-    ranged = base.withColumn("range", range_of(F.col("doc_id")).cast("int"))
-    firsts = {r[0]: r[1] for r in ranged.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("h"))).alias("f")).collect()}  # one row a range
-    used = sorted(firsts)
-    to = {(firsts[r]["i"], firsts[r]["h"]): used[k - 1] for k, r in enumerate(used)}  # the first of all goes to the last range
-    ids = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    if not to:
-        return ranged.select("range", F.lit(False).alias("last"), "doc_id", "text").limit(0)
-    heads = F.create_map(*(F.lit(x) for (i, h), r in to.items() for x in (f"{i}:{h}", r)))
-    mark = F.element_at(heads, F.concat_ws(":", ids.cast("string"), F.xxhash64("text").cast("string")))
-    sent = F.when(ids.isin([i for i, _ in to]), mark)
-    every = ranged.select("doc_id", "text", F.explode(F.when(sent.isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("last")))).otherwise(F.array(F.struct("range", F.lit(False).alias("last")), F.struct(sent.alias("range"), F.lit(True).alias("last"))))).alias("x"))
-    return every.select("x.range", "x.last", "doc_id", "text")
+    cuts: list[int] = []
+    if n_ranges > 1:  # bounds from at most about MAX_RANGES * IDS_OF_RANGE sampled ids; they only balance the ranges
+        spread = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+        ids = np.sort(base.where(F.col("doc_id").isNotNull()).where(spread < min(1.0, IDS_OF_RANGE * n_ranges / n)).select("doc_id").toArrow().column(0).to_numpy())
+        cuts = sorted({int(ids[len(ids) * k // n_ranges]) for k in range(1, n_ranges)}) if len(ids) else []
+    ranged = base.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(F.col("doc_id"), cuts)).cast("int"))
+    low = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(low.alias("i"), F.xxhash64("text").alias("h"))).alias("f")).collect()  # one row a range
+    used = sorted((r["range"], r["f"]["i"], r["f"]["h"]) for r in firsts)
+    # the first row of a range also goes to the range before it, that of the first to the last
+    heads = literal_table(spark, [{"i": i, "h": h, "to": used[k - 1][0]} for k, (_, i, h) in enumerate(used)], "i:bigint,h:bigint,to:int")
+    sent = ranged.withColumn("__i", low).withColumn("__h", F.xxhash64("text")).join(F.broadcast(heads), (F.col("__i") == F.col("i")) & (F.col("__h") == F.col("h")), "left")
+    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("last"))
+    both = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("range"), F.lit(True).alias("last"))))
+    return sent.select("doc_id", "text", F.explode(both).alias("x")).select("x.range", "x.last", "doc_id", "text")
+
+
+def _range_of(c, cuts):
+    """Number of cuts at or below the id: by halves, and beyond CUTS cuts by halves among every CUTS-th and then inside one array."""
+    if len(cuts) <= CUTS:
+        return _halves(c, cuts, 0, len(cuts))
+    parts = [cuts[k : k + CUTS] for k in range(0, len(cuts), CUTS)]
+    part = _halves(c, [p[0] for p in parts[1:]], 0, len(parts) - 1)
+    listed = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    return part * CUTS + F.size(F.filter(F.element_at(listed, part + 1), lambda x: x <= c))
 
 
 def _halves(c, cuts, a, b):

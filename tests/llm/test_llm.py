@@ -216,6 +216,7 @@ def test_weighted_samples_follow_counts():
 
 def test_fingerprint_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "ROWS_OF_RANGE", 7)
+    monkeypatch.setattr(fingerprint, "CUTS", 4)
     t = [(i * 3, f"text number {i} of the set with words {i * i}") for i in range(100)]
     got = sorted(fingerprint.fingerprints(spark.createDataFrame(t, "doc_id long, text string")).collect())
     assert [r.doc_id for r in got] == [i for i, _ in t]
