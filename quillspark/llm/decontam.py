@@ -7,7 +7,8 @@ suffixes that can start a window are sorted into a suffix array by their next
 words, every suffix of the benchmark is found in it by binary search, and
 neighbouring hits on one diagonal are merged into longest verbatim matches
 with their places in document and item.  Only the benchmark, a stated query
-set, travels to the executors; documents never move.
+set, travels to the executors, in blocks of a checked size; documents never
+move.
 
 Suffixes stand in the array only if their first ``m`` words (``m``: the
 shortest window) have the hash of some window's first ``m`` words: others
@@ -20,128 +21,169 @@ items of equal text are all reported.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import extended, without
+from .common import checkpointed, extended, without
 
 WINDOW = 10
-#: Words a benchmark may have: about 8 bytes of each go to every executor.
-MAX_BENCHMARK_WORDS = 20_000_000
+#: Words of the benchmark sent to the executors at once: about 95 bytes of each, 190 MB in all.
+BLOCK_WORDS = 2_000_000
 MARK_BITS = 20
 MATCH = "array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
 MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))
 
 
-def _key(words: np.ndarray) -> bytes:
-    """Bytes whose order is that of the word hashes one after the other."""
-    return words.astype(">u8").tobytes()
+class Windows(NamedTuple):
+    """The windows of a benchmark: one entry of each array for each window."""
 
+    items: list[str]
+    width: int
+    shortest: int  # words of the shortest window
+    key: np.ndarray  # its word hashes as bytes, zeros behind a short one
+    owner: np.ndarray  # number of its item
+    place: np.ndarray  # its first word in the item
+    size: np.ndarray  # its words
+    slot: np.ndarray  # mark of its first ``shortest`` words
 
-def windows(items: list[tuple[str, str]], width: int = WINDOW) -> tuple[dict[bytes, list[tuple[str, int]]], int, np.ndarray]:
-    """Window key -> (item, place) of each occurrence; the shortest window; marks of the windows' first words."""
-    found: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-    firsts, shortest, total = [], width, 0
-    for item, text in items:
+
+def windows(items: list[tuple[str, str]], width: int = WINDOW) -> Windows:
+    """All windows of (item_id, text) rows; an item of fewer words than ``width`` is one."""
+    each = []
+    for k, (_, text) in enumerate(items):
         buf = np.frombuffer((text or "").encode(), np.uint8)
         words, _ = tc.word_hashes(buf, np.array([0, len(buf)], np.int64), "alnum")
-        n, total = len(words), total + len(words)
-        if n:
-            w = min(n, width)
-            shortest = min(shortest, w)
-            for i in range(n - w + 1):
-                found[_key(words[i : i + w])].append((item, i))
-    if total > MAX_BENCHMARK_WORDS:
-        raise ValueError(f"the benchmark has {total} words; at most {MAX_BENCHMARK_WORDS} can be sent to the executors")
-    mark = np.zeros(1 << MARK_BITS, bool)
-    for k in found:
-        firsts.append(np.frombuffer(k[: 8 * shortest], ">u8").astype(np.uint64))
-    for f in firsts:
-        mark[tc.run_hashes(f, shortest) >> np.uint64(64 - MARK_BITS)] = True
-    return dict(found), shortest, mark
-
-
-def _scan(words: np.ndarray, first: np.ndarray, spots: np.ndarray, queries: dict, width: int):
-    """(row, word in row, window length, occurrences) of each window found at one of the spots."""
+        if len(words):
+            each.append((k, words))
+    shortest = min((min(len(w), width) for _, w in each), default=width)
+    key, owner, place, size, slot = [np.zeros((0, width), np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for k, words in each:
+        w = min(len(words), width)
+        at = np.arange(len(words) - w + 1)
+        block = np.zeros((len(at), width), np.uint64)
+        block[:, :w] = words[at[:, None] + np.arange(w)]
+        key.append(block), owner.append(np.full(len(at), k, np.int32)), place.append(at.astype(np.int32)), size.append(np.full(len(at), w, np.int32))
+        slot.append(tc.run_hashes(words, shortest)[: len(at)] >> np.uint64(64 - MARK_BITS))
+    flat = np.concatenate(key).astype(">u8").view(f"S{8 * width}").reshape(-1)
+    return Windows([i for i, _ in items], width, shortest, flat, np.concatenate(owner), np.concatenate(place), np.concatenate(size), np.concatenate(slot).astype(np.int32))
+
+
+def _scan(words: np.ndarray, first: np.ndarray, table: Windows, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word in the row and window of every occurrence of a window of ``table`` in a piece of text."""
+    none = np.zeros(0, np.int64)
+    slots = (tc.run_hashes(words, table.shortest) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    spots = np.flatnonzero(mark[slots])
+    if not len(spots):
+        return none, none, none
     row = np.searchsorted(first, spots, "right") - 1
-    stop = first[row + 1]
-    keys = []
-    for p, e in zip(spots.tolist(), stop.tolist()):
-        keys.append(_key(words[p : min(p + width, e)]))
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    array = [keys[i] for i in order]  # the shard's suffix array, by the next `width` words
-    for q, where in queries.items():
-        a = bisect_left(array, q)
-        if a == len(array) or not array[a].startswith(q):
-            continue
-        b = bisect_right(array, q + b"\xff" * (8 * width))
-        for i in order[a:b]:
-            yield int(row[i]), int(spots[i] - first[row[i]]), len(q) // 8, where
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, only_clean: bool = False) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (distinct, sorted as strings) and matches.
-
-    ``matches`` holds the longest verbatim matches: (item_id, doc_word,
-    item_word, n_words).  With ``only_clean``: the rows of ``docs`` without a hit, as they were.
-    """
-    rows = benchmark.select(benchmark["item_id"].cast("string"), benchmark["text"].cast("string")).where("item_id is not null and text is not null").collect()
-    queries, shortest, mark = windows([(r[0], r[1]) for r in rows], width)
-    shared = docs.sparkSession.sparkContext.broadcast((queries, shortest, mark))
+    ahead = np.arange(table.width)
+    near = np.concatenate([words, np.zeros(table.width, np.uint64)])[spots[:, None] + ahead]
+    near[ahead >= (first[row + 1] - spots)[:, None]] = 0  # a suffix ends with its document
+    suffix = near.astype(">u8").view(f"S{8 * table.width}").reshape(-1)
+    order = np.argsort(suffix, kind="stable")
+    array = suffix[order]  # the shard's suffix array, by the next ``width`` words
+    here = np.zeros(1 << MARK_BITS, bool)
+    here[slots[spots]] = True
+    due = np.flatnonzero(here[table.slot])
+    low = table.key[due]
+    high = np.frombuffer(low.tobytes(), ">u8").reshape(-1, table.width).copy()
+    high[ahead >= table.size[due][:, None]] = 0xFFFFFFFFFFFFFFFF  # any words may follow a short window
+    a = np.searchsorted(array, low, "left")
+    z = np.searchsorted(array, high.view(f"S{8 * table.width}").reshape(-1), "right")
+    n = np.maximum(z - a, 0)
+    at = order[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    return row[at], spots[at] - first[row[at]], np.repeat(due, n)
+
+
+def _add_matches(longest: list[list[dict]], rows: np.ndarray, at: np.ndarray, query: np.ndarray, table: Windows) -> None:
+    """Merges the occurrences of each row and diagonal to longest verbatim matches and adds them to ``longest``."""
+    diagonal: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+    owner, place = table.owner[query], table.place[query]
+    for r, k, d, s, e in zip(rows.tolist(), owner.tolist(), (at - place).tolist(), at.tolist(), (at + table.size[query]).tolist()):
+        diagonal[r, k, d].append((s, e))
+    for (r, k, d), spans in diagonal.items():
+        spans.sort()
+        lo, hi = spans[0]
+        for s, e in [*spans[1:], (1 << 60, 0)]:
+            if s > hi:
+                longest[r].append({"item_id": table.items[k], "doc_word": lo, "item_word": lo - d, "n_words": hi - lo})
+                lo, hi = s, e
+            hi = max(hi, e)
+
+
+def _covered(matches: list[dict]) -> int:
+    """Words inside any match."""
+    total = end = 0
+    for a, z in sorted((m["doc_word"], m["doc_word"] + m["n_words"]) for m in matches):
+        total += max(0, z - max(a, end))
+        end = max(end, z)
+    return total
+
+
+def _search(docs: DataFrame, table: Windows, only_clean: bool, again: bool) -> DataFrame:
+    """One pass over ``docs`` with one block of the benchmark; ``again``: add to the matches of earlier blocks."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     added = [("n_words", "bigint", pa.int64()), ("n_hit", "bigint", pa.int64()), ("items", "array<string>", pa.list_(pa.string())), ("matches", MATCH, MATCH_ARROW)]
 
     def each(batches):
-        queries, shortest, mark = shared.value
-        for batch in batches:
+        table = shared.value
+        mark = np.zeros(1 << MARK_BITS, bool)
+        mark[table.slot] = True
+        for batch in tc.small(batches):
             buf, offs = tc.buffers(batch.column(batch.schema.get_field_index("text")))
-            n_words, n_hit, items, longest = (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)])
+            n_words = np.zeros(batch.num_rows, np.int64)
+            longest = batch.column(batch.schema.get_field_index("matches")).to_pylist() if again and not only_clean else [[] for _ in range(batch.num_rows)]
             for a, b in tc.pieces(offs):
                 words, first = tc.word_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], "alnum")
                 n_words[a:b] = np.diff(first)
-                runs = tc.run_hashes(words, shortest)
-                spots = np.flatnonzero(mark[runs >> np.uint64(64 - MARK_BITS)]) if queries else np.zeros(0, np.int64)
-                if not len(spots):
-                    continue
-                hits: dict[int, list] = defaultdict(list)
-                for r, at, length, where in _scan(words, first, spots, queries, width):
-                    hits[r].append((at, length, where))
-                for r, found in hits.items():
-                    change = np.zeros(int(n_words[a + r]) + 1, np.int64)
-                    diagonal: dict[tuple[str, int], list[tuple[int, int]]] = defaultdict(list)
-                    for at, length, where in found:
-                        change[at] += 1
-                        change[at + length] -= 1
-                        for item, place in where:
-                            diagonal[item, at - place].append((at, at + length))
-                    n_hit[a + r] = int((np.cumsum(change) > 0).sum())
-                    items[a + r] = sorted({item for item, _ in diagonal})
-                    for (item, d), spans in diagonal.items():
-                        spans.sort()
-                        lo, hi = spans[0]
-                        for s, e in spans[1:] + [(1 << 60, 0)]:
-                            if s > hi:
-                                longest[a + r].append({"item_id": item, "doc_word": lo, "item_word": lo - d, "n_words": hi - lo})
-                                lo, hi = s, e
-                            hi = max(hi, e)
-                    longest[a + r].sort(key=lambda x: (x["doc_word"], x["item_id"], x["item_word"]))
+                rows, at, query = _scan(words, first, table, mark)
+                _add_matches(longest, rows + a, at, query, table)
             if only_clean:
-                yield batch.filter(pa.array(n_hit == 0))
+                yield batch.filter(pa.array([not m for m in longest], pa.bool_()))
                 continue
-            for (name, _, kind), value in zip(added, (n_words, n_hit, items, longest)):
+            for m in longest:
+                m.sort(key=lambda x: (x["doc_word"], x["item_id"], x["item_word"]))
+            for (name, _, kind), value in zip(added, (n_words, [_covered(m) for m in longest], [sorted({x["item_id"] for x in m}) for m in longest], longest)):
                 batch = tc.set_column(batch, name, pa.array(value, kind))
             yield batch
 
     if only_clean:
         return docs.mapInArrow(each, docs.schema)
-    base = docs.select(*without(docs, *(n for n, _, _ in added)))
-    return base.mapInArrow(each, extended(base.schema, ", ".join(f"{name} {ddl}" for name, ddl, _ in added)))
+    base = docs if again else docs.select(*without(docs, *(n for n, _, _ in added)))
+    return base.mapInArrow(each, base.schema if again else extended(base.schema, ", ".join(f"{name} {ddl}" for name, ddl, _ in added)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, only_clean: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (distinct, sorted as strings) and matches.
+
+    ``matches`` holds the longest verbatim matches: (item_id, doc_word,
+    item_word, n_words).  With ``only_clean``: the rows of ``docs`` without a
+    hit, as they were.  A benchmark of more than ``block_words`` words is
+    searched in blocks of items, one pass each, with the rows written to the
+    shared folder in between; one item of more words is an error.
+    """
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
+    n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Z]+"), 0))  # at least as many as the words
+    total = items.agg(F.coalesce(F.sum(n_words), F.lit(0))).first()[0]
+    n_blocks = 1 if total <= block_words else -(-2 * total // block_words)
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    if n_blocks > 1:
+        largest = items.groupBy(block).agg(F.sum(n_words).alias("n")).agg(F.max("n")).first()[0]
+        if largest > block_words:
+            raise ValueError(f"a block of the benchmark has {largest} words; at most {block_words} can be sent to the executors")
+    out = docs
+    for k in range(n_blocks):
+        rows = items.where(block == k).collect()  # at most ``block_words`` words
+        out = _search(out if k == 0 else checkpointed(out), windows([(r[0], r[1]) for r in rows], width), only_clean, k > 0)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    return matches(docs, benchmark, width, only_clean=True)
+    return matches(docs, benchmark, width, True, block_words)
