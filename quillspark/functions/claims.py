@@ -22,6 +22,21 @@ OPERATIONS = (
     ("list", "list|which|what are"),
 )
 
+#: Labels of a ledger entry (column, first match wins, else).
+LABELS = (
+    ("mode", (("question", "[?]"), ("plan", "(going to|plan to|will )"), ("negated", "( not |never|n.t )")), "asserted"),
+    ("numeric_role", (("share", "[0-9] ?%"), ("amount", "[$€£] ?[0-9]"), ("count", "[0-9]")), "none"),
+    ("event_role", (("start", "(began|started|first)"), ("end", "(ended|finished|stopped|last)")), "none"),
+)
+
+
+def first_label(text: Column, kinds: tuple[tuple[str, str], ...], other: str) -> Column:
+    """Name of the first pattern that the lower-cased text has."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), None
+    for name, pattern in kinds:
+        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
+    return out.otherwise(other)
+
 
 def sensitive_categories(text: Column) -> Column:
     """Names of the categories that the text touches, in order."""

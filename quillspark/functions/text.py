@@ -46,6 +46,13 @@ def word_chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVER
     )
 
 
+def line_chunks(text: Column, size: int = 80) -> Column:
+    """Runs of ``size`` lines; the last has the rest."""
+    lines = F.split(text, "\n")
+    last = F.floor((F.size(lines) - 1) / F.lit(size)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(lines, k * size + 1, size), "\n"))
+
+
 def squeezed(text: Column) -> Column:
     """White space of ASCII as single spaces, trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\r]+", " "))
