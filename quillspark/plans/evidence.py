@@ -286,12 +286,12 @@ def g36_community_rollup(spark, d):
 
 
 @query("""with recursive e as (select distinct l_suppkey as a, l_partkey + 1000000 as b from lineitem where l_quantity > 49), p as (select l_orderkey as a, l_suppkey as b from lineitem where l_quantity > 49),
-w as (select a as node, b as seen, 1 as d from e where a <= 3 union select w.node, e2.b, 2 from w join p on w.seen - 1000000 = p.a join e e2 on p.b = e2.a where d < 2)
+w as (select a as node, b as seen, 1 as d from e union select w.node, e2.b, 2 from w join p on w.seen - 1000000 = p.a join e e2 on p.b = e2.a where d < 2)
 select node, count(distinct seen) as reached from w group by node""")
 def r13_blast_radius(spark, d):
     li = load(spark, d, "lineitem").where("l_quantity > 49")
     e = li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
     p = li.select(F.col("l_orderkey").alias("x"), F.col("l_suppkey").alias("y")).distinct()
-    one = e.where("a <= 3").select(F.col("a").alias("node"), F.col("b").alias("seen"))
-    two = one.join(p, F.col("seen") - 1000000 == F.col("x")).join(e.select(F.col("a").alias("y"), F.col("b").alias("far")), "y").select("node", F.col("far").alias("seen"))
+    one = e.select(F.col("a").alias("node"), F.col("b").alias("seen"))
+    two = one.join(p, F.col("seen") - 1000000 == F.col("x")).select("node", "y").distinct().join(e.select(F.col("a").alias("y"), F.col("b").alias("far")), "y").select("node", F.col("far").alias("seen"))
     return one.unionByName(two).groupBy("node").agg(F.count_distinct("seen").alias("reached"))

@@ -78,13 +78,15 @@ def m09_session_windows(spark, d):
     return rows.withColumn("part", F.floor(above / WINDOW_CHARS)).groupBy("conv_id", "part").agg(F.count("*").alias("turns"), F.sum("n").alias("chars"))
 
 
-@query(f"""with m as (select max(ts) as now from events)
-select event_id from (select event_id, ts, now, row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events, m) where ts < now - interval {LOG_DAYS} day or rank > {LOG_ITEMS}""")
+@query(f"""with m as (select max(o_orderdate) as now from orders),
+r as (select o_orderkey, o_orderdate, now, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rank from orders, m)
+select o_orderkey, case when o_orderdate < now - interval {LOG_DAYS} day then 'old' when rank > {LOG_ITEMS} then 'beyond' else 'kept' end as fate from r""")
 def t11_run_log_prune(spark, d):
-    e = load(spark, d, "events").select("event_id", "user_id", "ts")
-    now = e.agg(F.max("ts").alias("now"))  # one row
-    ranked = e.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).crossJoin(F.broadcast(now))
-    return ranked.where((F.col("ts") < F.col("now") - F.expr(f"interval {LOG_DAYS} days")) | (F.col("rank") > LOG_ITEMS)).select("event_id")
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    now = o.agg(F.max("o_orderdate").alias("now"))  # one row
+    ranked = o.withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).crossJoin(F.broadcast(now))
+    old = F.col("o_orderdate") < F.col("now") - F.expr(f"interval {LOG_DAYS} days")
+    return ranked.select("o_orderkey", F.when(old, "old").when(F.col("rank") > LOG_ITEMS, "beyond").otherwise("kept").alias("fate"))
 
 
 @query(f"""with u as (select user_id, count(*) as n, count(*) filter (event_type = 'error') as changed from events group by user_id)
