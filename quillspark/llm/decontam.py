@@ -128,11 +128,11 @@ def _covered(matches: list[dict]) -> int:
 
 def _search(docs: DataFrame, table: Windows, only_clean: bool, again: bool) -> DataFrame:
     """One pass over ``docs`` with one block of the benchmark; ``again``: add to the matches of earlier blocks."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(table))  # plain values: workers may not have this module
     added = [("n_words", "bigint", pa.int64()), ("n_hit", "bigint", pa.int64()), ("items", "array<string>", pa.list_(pa.string())), ("matches", MATCH, MATCH_ARROW)]
 
     def each(batches):
-        table = shared.value
+        table = Windows(*shared.value)
         mark = np.zeros(1 << MARK_BITS, bool)
         mark[table.slot] = True
         for batch in tc.small(batches):
