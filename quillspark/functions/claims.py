@@ -28,6 +28,17 @@ LABELS = (
     ("numeric_role", (("share", "[0-9] ?%"), ("amount", "[$€£] ?[0-9]"), ("count", "[0-9]")), "none"),
     ("event_role", (("start", "(began|started|first)"), ("end", "(ended|finished|stopped|last)")), "none"),
 )
+#: Harmful topics, what asks for steps, and where a question goes (first match wins).
+HARMS = (("weapons", "(explosive|bomb|nerve agent)"), ("malware", "(ransomware|keylogger|malware)"), ("drugs", "(methamphetamine|fentanyl)"), ("theft", "(steal|counterfeit|pickpocket)"))
+PROCEDURE = "(how (to|do|can)|steps|instructions|recipe|build|make )"
+ROUTES = (
+    ("greeting", "^ *(hi|hello|hey|thanks|thank you)[ .,!]*$"),
+    ("compare", "(compare|versus| vs |difference between)"),
+    ("count", "how (many|much|often)"),
+    ("timeline", "(when |timeline|since|until)"),
+    ("summary", "(summar|overview|in short)"),
+    ("lookup", "[?]"),
+)
 
 
 def first_label(text: Column, kinds: tuple[tuple[str, str], ...], other: str) -> Column:
@@ -82,3 +93,10 @@ def key_terms(text: Column, least: int = 4) -> Column:
 
 def grounded(sentence_terms: Column, evidence_terms: Column, least: int = 3) -> Column:
     return F.size(F.array_intersect(sentence_terms, evidence_terms)) >= least
+
+
+def as_of_day(text: Column, reference: Column) -> Column:
+    """Last day that ``as of yesterday``, ``as of last month`` or ``as of 2024-01-31`` means, seen from a date; null where no day that exists is named."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = F.try_to_timestamp(F.regexp_extract(low, "as of ([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(low.contains("as of yesterday"), F.date_sub(reference, 1)).when(low.contains("as of last month"), F.last_day(F.add_months(reference, -1))).otherwise(named)

@@ -19,6 +19,8 @@ REDACTIONS = (
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
     (r"(https?://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@"),
 )
+#: What a line of boilerplate says.
+BOILERPLATE = "(cookie|subscribe|all rights reserved|sign in|privacy policy|licensed under|terms of (use|service))"
 
 
 def tokens(text: Column) -> Column:
@@ -103,3 +105,19 @@ def trust_weight(tier: Column, labels: Column) -> Column:
     """Low trust by tier or label counts 0.55, medium 0.85, else 1."""
     low = (tier == "low") | F.arrays_overlap(labels, F.array(F.lit("untrusted"), F.lit("hostile")))
     return F.when(low, TRUST_WEIGHT["low"]).when(tier == "medium", TRUST_WEIGHT["medium"]).otherwise(1.0)
+
+
+def content_lines(lines: Column) -> Column:
+    """The lines that are neither blank nor boilerplate."""
+    return F.filter(lines, lambda x: (F.trim(x) != "") & ~F.lower(x).rlike(BOILERPLATE))
+
+
+def family_name(name: Column) -> Column:
+    """Lower-cased, kind suffixes and decimals of versions dropped, other runs as one dash."""
+    t = F.regexp_replace(F.lower(name), "[-_ ](instruct|chat|base|it)$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "([0-9]+)\\.[0-9]+", "$1"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def billions(name: Column) -> Column:
+    """Size that a name gives as ``7b``; null if none."""
+    return F.nullif(F.regexp_extract(F.lower(name), "([0-9]+)b\\b", 1), F.lit("")).cast("double")

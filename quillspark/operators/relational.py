@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,29 @@ def renames(deleted: DataFrame, added: DataFrame, key: str, mark: str) -> DataFr
     return d.join(a, mark).select("old", "new")
 
 
+def reconcile(known: DataFrame, found: DataFrame, key: str, mark: str, complete: bool = True) -> DataFrame:
+    """(key, was, action) of a scan against the known rows: imported, updated, moved, unchanged or tombstoned.
+
+    A file has moved if its mark is the only one of its kind among the new and
+    among the missing keys; ``was`` is its old key.  Only a ``complete`` scan
+    makes tombstones.
+    """
+    gone, fresh = known.join(found.select(key), key, "left_anti"), found.join(known.select(key), key, "left_anti")
+    moved = renames(gone, fresh, key, mark)
+    both = found.join(known.select(key, F.col(mark).alias("__old")), key)
+    kind = known.schema[key].dataType
+    stay = both.select(key, F.lit(None).cast(kind).alias("was"), F.when(F.col(mark).eqNullSafe(F.col("__old")), "unchanged").otherwise("updated").alias("action"))
+    new = fresh.join(moved.select(F.col("new").alias(key), F.col("old").alias("was")), key, "left").select(key, "was", F.when(F.col("was").isNull(), "imported").otherwise("moved").alias("action"))
+    if not complete:
+        return stay.unionByName(new)
+    dead = gone.join(moved.select(F.col("old").alias(key)), key, "left_anti").select(key, F.lit(None).cast(kind).alias("was"), F.lit("tombstoned").alias("action"))
+    return stay.unionByName(new).unionByName(dead)
+
+
+def ordered(keys: list[str], order: list) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
 def pairs_in_group(df: DataFrame, group: str, item: str, most: int = 50) -> DataFrame:
     """(a, b, n): unordered item pairs and the groups with both; groups of more than ``most`` items make none."""
     sets = df.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("s")).where(F.size("s").between(2, most))

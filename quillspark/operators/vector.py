@@ -60,6 +60,24 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 4, bl
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
+def encoded(v: Column) -> Column:
+    """A vector as (scale, codes): eight bits a dimension."""
+    scale = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) / 127
+    return F.struct(scale.alias("scale"), F.transform(v, lambda x: F.when(scale > 0, F.round(x.cast("double") / scale)).otherwise(0).cast("tinyint")).alias("codes"))
+
+
+def decoded(code: Column) -> Column:
+    return F.transform(code["codes"], lambda x: x * code["scale"])
+
+
+def quantized_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 4) -> DataFrame:
+    """(query_id, id, score, rank) as ``top_k``: ``max(25 k, 50)`` candidates a query from eight-bit codes, then exact scores."""
+    near = top_k(queries, corpus.select("id", encoded(F.col("v")).alias("code")).select("id", decoded(F.col("code")).alias("v")), max(25 * k, 50), digits).select("query_id", "id")
+    exact = near.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(corpus, "id").select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return exact.where("score > 0").withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """(key, dim, value): mean of each dimension, combined on the map side."""
     return vectors.select(key, F.posexplode("embedding").alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
