@@ -139,21 +139,23 @@ def _candidate_bits(ids: DataFrame) -> np.ndarray:
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of doc_ids those whose sets pass orders B and C and have Jaccard similarity of at least 0.8."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = spark.sparkContext.broadcast(_candidate_bits(ids))
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << BLOOM_BITS))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), slot.alias("slot"))
 
-    def sets(batches):
-        table = bits.value
-        for batch in tc.small(batches):
-            at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-            batch = batch.filter(keep)
-            got = [u.tobytes() for _, u in _sets(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], names=["id", "tokens"])
+    def sets_of(end: str) -> DataFrame:
+        """Ids and sets of the documents at this end of the pairs: leaders of stars are few, so each end sends only its own."""
+        bits = docs.sparkSession.sparkContext.broadcast(_candidate_bits(pairs.select(F.col(end).alias("id"))))
+
+        def sets(batches):
+            table = bits.value
+            for batch in tc.small(batches):
+                at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
+                keep = pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+                batch = batch.filter(keep)
+                got = [u.tobytes() for _, u in _sets(batch)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], names=[end, f"t{end}"])
 
-    found = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), slot.alias("slot")).mapInArrow(sets, "id long, tokens binary")
+        return rows.mapInArrow(sets, f"{end} long, t{end} binary")
 
     def check(batches):
         for batch in tc.small(batches, 256):
@@ -169,8 +171,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(bool(ok))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = pairs.join(found.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = side.join(found.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
+    both = pairs.join(sets_of("b"), "b").join(sets_of("a"), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
