@@ -55,6 +55,19 @@ def distances(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
     return seen
 
 
+def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
+    """(node, reached): how many other nodes get to ``node`` along directed edges in 1 to ``depth`` steps; nodes that none gets to are left out."""
+    e = settled(edges.where("src <> dst").select("src", "dst").distinct())
+    seen = edge = e.select(F.col("dst").alias("node"), F.col("src").alias("source"))
+    for _ in range(depth - 1):
+        far = edge.join(e.select(F.col("dst").alias("source"), F.col("src").alias("far")), "source").where("far <> node").select("node", F.col("far").alias("source")).distinct()
+        edge = settled(far.join(seen, ["node", "source"], "left_anti"))
+        if edge.isEmpty():
+            break
+        seen = settled(seen.unionByName(edge))
+    return seen.groupBy("node").agg(F.count("*").alias("reached"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that undirected edges reach, by propagated minima and pointer jumps."""
     e = edges.where("src <> dst").select("src", "dst")

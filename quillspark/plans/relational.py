@@ -288,6 +288,34 @@ def r09_components(spark, d):
     return graph.components(e)
 
 
+#: Parts' nodes in the graphs over whole tables stand above all numbers of suppliers, and orders' nodes above those.
+PARTS, ORDERS, CUSTOMERS = 10**12, 2 * 10**12, 3 * 10**12
+
+
+@query(None)
+def r03_r04_all_distances(spark, d):
+    """Steps from supplier 1, up to 6, over the undirected supplier-part edges of all of lineitem; tested against a plain search."""
+    e = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PARTS).alias("dst"))
+    return graph.distances(relational.undirected(e), spark.range(1, 2).select(F.col("id").alias("node")), 6)
+
+
+@query(None)
+def r09_all_components(spark, d):
+    """Components over the order-part edges of all of lineitem; tested against a plain search."""
+    e = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + PARTS).alias("dst"))
+    return graph.components(e)
+
+
+@query(None)
+def r13_all_blast_radius(spark, d):
+    """What depends on each supplier, part and order in up to 3 inbound steps: customers on orders, orders on parts, parts on suppliers; tested against a plain search."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    e = li.select((F.col("l_partkey") + PARTS).alias("src"), F.col("l_suppkey").alias("dst"))
+    e = e.unionByName(li.select((F.col("l_orderkey") + ORDERS).alias("src"), (F.col("l_partkey") + PARTS).alias("dst")))
+    e = e.unionByName(load(spark, d, "orders").select((F.col("o_custkey") + CUSTOMERS).alias("src"), (F.col("o_orderkey") + ORDERS).alias("dst")))
+    return graph.blast_radius(e, 3)
+
+
 @query(None)
 def r06_pagerank(spark, d):
     """Rank over orders -> customers -> nations; tested against a plain loop."""

@@ -168,3 +168,42 @@ def test_quantized_search_recalls_the_exact_results(spark, sf_dir):
     assert len(exact & near) >= 0.9 * len(exact)
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<float>")
     assert vector.quantized_top_k(zero, zero, k=2).count() == 0
+
+
+def test_graph_queries_use_every_edge(spark, sf_dir):
+    from quillspark.plans.registry import QUERIES
+
+    part, order, customer = 10**12, 2 * 10**12, 3 * 10**12
+    lines = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()]
+    owns = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").collect()]
+
+    def near(edges):
+        out = collections.defaultdict(set)
+        for a, b in edges:
+            out[a].add(b)
+        return out
+
+    def search(out, start, depth):
+        dist, edge = {start: 0}, {start}
+        for k in range(1, depth + 1):
+            edge = {y for x in edge for y in out.get(x, ())} - dist.keys()
+            dist.update(dict.fromkeys(edge, k))
+        return dist
+
+    both = near([e for _, p, s in lines for e in ((s, p + part), (p + part, s))])
+    assert {r.node: r.dist for r in QUERIES["r03_r04_all_distances"](spark, sf_dir).collect()} == search(both, 1, 6)
+    both = near([e for o, p, _ in lines for e in ((o, p + part), (p + part, o))])
+    want, left = {}, set(both)
+    while left:
+        group = search(both, min(left), len(both)).keys()
+        want |= dict.fromkeys(group, min(group))
+        left -= group
+    assert {r.node: r.component for r in QUERIES["r09_all_components"](spark, sf_dir).collect()} == want
+    inbound = near([(s, p + part) for _, p, s in lines] + [(p + part, o + order) for o, p, _ in lines] + [(o + order, c + customer) for o, c in owns])
+    want = {x: len(search(inbound, x, 3)) - 1 for x in list(inbound)}
+    assert {r.node: r.reached for r in QUERIES["r13_all_blast_radius"](spark, sf_dir).collect()} == want
+
+
+def test_blast_radius_in_cycles(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 3), (4, 3), (5, 4), (6, 5), (7, 6)], "src long, dst long")
+    assert {r.node: r.reached for r in graph.blast_radius(e).collect()} == {1: 4, 2: 3, 3: 5, 4: 3, 5: 2, 6: 1}
