@@ -4,9 +4,12 @@ A page is read once as a series of text nodes, each with its root-to-leaf tag
 path.  Per path the text length and the punctuation are summed and divided by
 the path's nodes; the two ratios are smoothed over the page's nodes in order,
 multiplied, and paths above the standard deviation of the fused score are the
-content.  The smallest container that holds nearly all of the selected text is
-the article: its blocks are kept in page order, the short ones too, except
-parts that are marked as something else (menus, adverts, comments and so on).
+content.  The lowest container of all selected text, or the article or main
+element around it, is the article: its blocks are kept in page order, the short
+ones too, except parts that are marked as something else (menus, adverts,
+comments and so on).  A class, id or role does not mark a part that holds more
+than half of the selected text, if it is or holds an article or main element or
+none with text stands outside the marked parts.
 
 Defined results: null and empty pages, and pages without content, give an
 empty text; unclosed, stray and crossed tags are tolerated; character
@@ -45,21 +48,22 @@ CLOSES_P = BLOCK - {"html", "body", "option", "legend", "summary", "caption", "t
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("ul ol dl table menu".split())
 SMOOTH = 2
-SHARE = 0.9
+
+
+def _hidden(attributes: str) -> bool:
+    return any(name.lower() == "hidden" or name.lower() == "aria-hidden" and (a or b or c).lower() == "true" for name, a, b, c in ATTR.findall(attributes))
 
 
 def _marked(attributes: str) -> bool:
     for name, a, b, c in ATTR.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not MARKED.isdisjoint(WORD.findall(value)):
+        if name == "role" and value in ROLES or name in ("class", "id") and not MARKED.isdisjoint(WORD.findall(value)):
             return True
     return False
 
 
-def nodes(page: str):
-    """(path, block number, raw text) of every text node that is not in a skipped part.
+def nodes(page: str, marked: set[int]):
+    """(path, block number, raw text) of every text node that is not in a skipped part; the numbers of marked elements are added to ``marked``.
 
     A path holds one entry per open element: (name, number of the element).
     """
@@ -112,7 +116,9 @@ def nodes(page: str):
                 text(" ")
             continue
         number += 1
-        skipped = bool(stack and stack[-1][2]) or name in SKIP or (name not in ("html", "body") and bool(m[3]) and _marked(m[3]))
+        skipped = bool(stack and stack[-1][2]) or name in SKIP or (name not in ("html", "body") and bool(m[3]) and _hidden(m[3]))
+        if not skipped and name not in ("html", "body") and m[3] and _marked(m[3]):
+            marked.add(number)
         if m[3].endswith("/") and name in ("svg", "math"):
             continue
         if name in RAW:
@@ -125,17 +131,14 @@ def nodes(page: str):
     return out
 
 
-def extract(page: str | None) -> str:
-    """Main text of one page."""
-    if not page:
-        return ""
-    found = nodes(page)
+def _selected(found: list[tuple]) -> tuple[list[str], np.ndarray, list[int]]:
+    """Text and size of each node, and the nodes whose paths are content."""
     keys = [tuple(n for n, _ in path) for path, _, _ in found]
     texts = [entities.unescape(t) for _, _, t in found]
     sizes = np.array([len("".join(t.split())) for t in texts], float)
     real = np.flatnonzero(sizes > 0)
     if not len(real):
-        return ""
+        return texts, sizes, []
     punct = np.array([len(PUNCTUATION.findall(t)) for t in texts], float)
     paths: dict[tuple, list[float]] = {}
     for i in real:
@@ -153,18 +156,45 @@ def extract(page: str | None) -> str:
         score.setdefault(keys[i], []).append(f)
     mean = {k: float(np.mean(v)) for k, v in score.items()}
     bar = min(float(fused.std()), max(mean.values()))
-    chosen = [i for i in real if mean[keys[i]] >= bar]
-    # the smallest element that is no paragraph, item or inline and holds nearly all selected text
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
+    return texts, sizes, [i for i in real if mean[keys[i]] >= bar]
+
+
+def extract(page: str | None) -> str:
+    """Main text of one page."""
+    if not page:
+        return ""
+    marked: set[int] = set()
+    found = nodes(page, marked)
+    if any(k in marked for path, _, _ in found for _, k in path):
+        _, sizes, chosen = _selected(found)
+        picked = set(chosen)
+        held: dict[int, float] = {}
+        named: set[int] = set()  # marked elements that are or hold an article
+        outside = False
+        for i in np.flatnonzero(sizes > 0):
+            article, any_marked = False, False
+            for n, k in reversed(found[i][0]):
+                article |= n in ("article", "main")
+                if k in marked:
+                    any_marked = True
+                    held[k] = held.get(k, 0.0) + sizes[i] * (i in picked)
+                    if article:
+                        named.add(k)
+            outside |= article and not any_marked
+        half = sum(sizes[i] for i in chosen) / 2
+        marked -= {k for k, v in held.items() if v > half and (k in named or not outside)}
+        found = [x for x in found if not any(k in marked for _, k in x[0])]
+    texts, _, chosen = _selected(found)
+    if not chosen:
+        return ""
+    # the lowest container, no paragraph, item or inline, around all selected text
+    shared = [x for x in found[chosen[0]][0] if x[0] in ("html", "body", "main", "article", "section", "div", "td", "center")]
     for i in chosen:
-        for d, (n, k) in enumerate(found[i][0]):
-            if n in ("html", "body", "main", "article", "section", "div", "td", "center"):
-                held[k] = held.get(k, 0.0) + sizes[i]
-                depth[k] = d
-    need = SHARE * sum(sizes[i] for i in chosen)
-    fit = [k for k, v in held.items() if v >= need]
-    root = max(fit, key=depth.__getitem__) if fit else None
+        here = {k for _, k in found[i][0]}
+        while shared and shared[-1][1] not in here:
+            shared.pop()
+    around = [k for n, k in shared if n in ("article", "main")]
+    root = around[-1] if around else shared[-1][1] if shared else None
     blocks: dict[int, list[str]] = {}
     for (path, block, _), t in zip(found, texts):
         if root is None or any(k == root for _, k in path):

@@ -251,6 +251,17 @@ def test_html(spark):
     assert html.extract_pages(df.select("html")).columns == ["text", "n_chars"]
 
 
+def test_html_keeps_all_sections_and_pages_with_marked_wrappers():
+    body = "".join(f"<p>Sentence {k} is long enough, with commas, to be text. It goes on.</p>" for k in range(40))
+    lines = [f"Sentence {k} is long enough, with commas, to be text. It goes on." for k in range(40)]
+    nested = f"<body><nav>Menu</nav><article><h1>Head</h1><p>The lead, short.</p><section>{body}</section><section><p>Closing part, short.</p></section></article></body>"
+    assert html.extract(nested).split("\n") == ["Head", "The lead, short.", *lines, "Closing part, short."]
+    for a, z in (("<main class='content has-sidebar'>", "</main>"), ("<div id='page' class='no-sidebar share-enabled'>", "</div>"), ("<div class='has-sidebar'><article>", "</article></div>")):
+        got = html.extract(f"<body>{a}<h1>Head</h1>{body}<div class='sidebar'>Other, things.</div>{z}<div class='ad'>Buy, now.</div></body>")
+        assert got.split("\n") == ["Head", *lines]
+    assert html.extract(f"<body><article><h1>Head</h1><p>Short, text.</p></article><div class='ad'>{body}</div></body>") == "Head\nShort, text."
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(2)
     data = [(i, " ".join(r.choice("good fine well nice solid".split() if i % 2 else "bad*** poor!! worse### ugly@@".split()) for _ in range(30)), i % 2) for i in range(200)]
