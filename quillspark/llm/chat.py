@@ -5,7 +5,8 @@ prefix of a conversation's turns is rendered; what an output adds to the one
 before it is the turn's span.  A probe turn with a one-character text shows
 how much of a span is frame and how much is text.  A template whose output for
 a longer prefix does not begin with its output for the shorter one rewrites
-history: that turn is reported, and its spans are not trusted.
+history: that turn is reported, and its spans are not trusted.  Only chats of a
+template that declares itself ``append_only`` are put together from chunks.
 
 The default template frames each turn with control strings and escapes such
 strings inside roles and texts with a backslash, which is reversible.
@@ -18,6 +19,7 @@ rendered whole in one task, so it has to fit there.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -31,11 +33,12 @@ OPEN, MIDDLE, CLOSE = "<|turn|>", "<|says|>", "<|end|>"
 CONTROL = (OPEN, MIDDLE, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: A private-use character stands for a text when the frame around it is measured.
 PROBE = "\ue000"
-#: Turns of which all prefixes are rendered together; longer chats are put together from such chunks and checked.
+#: Turns of which all prefixes are rendered together for a template that declares itself append-only; its longer chats are put together from such chunks and checked.
 CHUNK = 16
 SPANS = "array<struct<turn:int,role:string,start:int,stop:int,text_start:int,text_stop:int,rewrites:boolean>>"
 
 
+@functools.lru_cache(4096)  # every prefix shows the same texts again
 def escape(text: str) -> str:
     doubled = text.replace("\\", "\\\\")
     return re.sub("|".join(map(re.escape, CONTROL)), lambda m: m[0][0] + "\\" + m[0][1:], doubled)
@@ -112,8 +115,12 @@ def _by_chunks(turns: list[tuple[str, str]], template: Callable, chunk: int) ->
 
 
 def render(turns: list[tuple[str, str]], template: Callable, chunk: int = CHUNK) -> tuple[str, list[dict]]:
-    """The whole output and the span of each turn; a span that the template rewrote has no text span."""
-    got = _by_chunks(turns, template, chunk) if len(turns) > chunk else None
+    """The whole output and the span of each turn; a span that the template rewrote has no text span.
+
+    Every prefix is rendered, unless the template has a true ``append_only``:
+    each turn adds the same text whatever stands before it.
+    """
+    got = _by_chunks(turns, template, chunk) if getattr(template, "append_only", False) and len(turns) > chunk else None
     whole, found = got or _prefixes(turns, template)
     spans = [
         {"turn": k, "role": role, "start": start, "stop": stop, "text_start": a, "text_stop": z, "rewrites": rewrites}

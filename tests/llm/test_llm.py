@@ -304,6 +304,25 @@ def test_chat_finds_templates_that_rewrite_history():
     assert out[spans[1]["text_start"] : spans[1]["text_stop"]] == "hello"
 
 
+def test_chat_finds_rewrites_at_any_length():
+    def summed(turns):
+        return ("summary\n" if len(turns) in (20, 40) else "") + chat.default_template(turns)
+
+    turns = [("user" if k % 2 else "assistant", f"turn {k}") for k in range(50)]
+    whole, spans = chat.render(turns, summed)
+    assert [s["turn"] for s in spans if s["rewrites"]] == [19, 20, 39, 40] and whole == chat.default_template(turns)
+    seen = []
+
+    def watched(turns):
+        seen.append(len(turns))
+        return chat.default_template(turns)
+
+    assert chat.render(turns, watched) == chat.render(turns, chat.default_template) and set(seen) == set(range(51))
+    seen.clear()
+    watched.append_only = True
+    assert chat.render(turns, watched) == chat.render(turns, chat.default_template) and len(seen) < 120
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
