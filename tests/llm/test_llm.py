@@ -133,6 +133,19 @@ def test_language(spark, docs, empty):
     assert flags == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(20)}
 
 
+def test_more_languages_than_a_block(spark):
+    r = random.Random(5)
+    text = {f"l{k:02}": " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(12)) for k in range(40)}
+    rows = [(i, text[k], k) for i, k in enumerate(sorted(text) * 2)] + [(900, None, "l00"), (901, "12", "l01"), (902, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = langid.train(df), langid.train(df, block=7)
+    assert len(one[0]) == 40 and isinstance(many, langid.Blocks)
+    a, b = ({x.doc_id: x for x in langid.identify(df, m).collect()} for m in (one, many))
+    assert all(a[i].lang_pred == k for i, _, k in rows[:80]) and (b[900].lang_pred, b[901].lang_pred) == ("und", "und")
+    for i in a:
+        assert a[i].lang_pred == b[i].lang_pred and a[i].score == pytest.approx(b[i].score, abs=1e-9)
+
+
 def test_sharding(docs, empty):
     got = sharding.shard_documents(docs, n_shards=7).collect()
     again = sharding.shard_documents(docs.repartition(5), n_shards=7).collect()
