@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pack(df: DataFrame, key: str, order: str, tokens: str, budget: int, most: int = 4096) -> DataFrame:
+def pack(df: DataFrame, key: str, order: str, tokens: str, budget: int) -> DataFrame:
     """``df`` with taken: rows are tried in ``order``, an item that does not fit is skipped and later, smaller ones still tried.
 
-    The fold runs inside one row per key over (order, tokens) pairs; ``most``
-    items of a key, best first, can be tried, which no budget of this size exceeds
-    as long as items have at least ``budget / most`` tokens.
+    The rows of a key, sorted, run as a stream past one counter of used tokens:
+    every row is tried, and none is held.  Rows of a null key are one group; a
+    null number of tokens never fits.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    ranked = df.withColumn("__r", F.row_number().over(w))
-    lists = ranked.where(F.col("__r") <= most).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__r", F.col(tokens).cast("long").alias("t")))).alias("s"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    ranked = df.withColumn("__first", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1).withColumn("__t", F.col(tokens).cast("long"))
+    names = df.columns
 
-    def step(acc, x):
-        fits = acc["used"] + x["t"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["t"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["__r"]))).otherwise(acc["kept"]).alias("kept"))
+    def each(batches):
+        used = 0
+        for batch in batches:
+            taken = []
+            for first, t in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                if first:
+                    used = 0
+                fits = t is not None and used + t <= budget
+                if fits:
+                    used += t
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(taken, pa.bool_())], names=[*names, "taken"])
 
-    kept = lists.select(key, F.explode(F.aggregate("s", zero, step)["kept"]).alias("__r"))
-    return ranked.join(kept.withColumn("taken", F.lit(True)), [key, "__r"], "left").withColumn("taken", F.coalesce("taken", F.lit(False))).drop("__r")
+    return ranked.mapInArrow(each, df.withColumn("taken", F.lit(True)).schema)

@@ -207,3 +207,11 @@ def test_graph_queries_use_every_edge(spark, sf_dir):
 def test_blast_radius_in_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 3), (4, 3), (5, 4), (6, 5), (7, 6)], "src long, dst long")
     assert {r.node: r.reached for r in graph.blast_radius(e).collect()} == {1: 4, 2: 3, 3: 5, 4: 3, 5: 2, 6: 1}
+
+
+def test_packing_tries_every_row(spark):
+    rows = [(1, i, 500) for i in range(5000)] + [(1, 5000 + i, 30) for i in range(3000)] + [(None, 0, 390), (None, 1, None), (None, 2, 20), (None, 3, 10), (2, 0, 400)]
+    df = spark.createDataFrame(rows, "k int, place int, tokens long").repartition(7)
+    got = packing.pack(df, "k", "place", "tokens", 400)
+    assert got.columns == [*df.columns, "taken"] and got.count() == len(rows)
+    assert {(r.k, r.place) for r in got.where("taken").collect()} == {(1, 5000 + i) for i in range(13)} | {(None, 0), (None, 3), (2, 0)}
