@@ -215,3 +215,19 @@ def test_packing_tries_every_row(spark):
     got = packing.pack(df, "k", "place", "tokens", 400)
     assert got.columns == [*df.columns, "taken"] and got.count() == len(rows)
     assert {(r.k, r.place) for r in got.where("taken").collect()} == {(1, 5000 + i) for i in range(13)} | {(None, 0), (None, 3), (2, 0)}
+
+
+def test_containment_of_short_items(spark):
+    from quillspark.operators.containment import first_containing
+
+    docs = [(5, "one two three four five six seven"), (2, "xone two  three"), (9, "zero\tone two three four five six"), (1, None), (7, "")]
+    needles = ["one", "one two", "two three four", "one two three four", "one two three four five", "one two three four five six", "six", "absent", "", None, "two  three", "e tw"]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([*enumerate(needles), (0, "zero"), (None, "two  three")], "item_id long, text string")
+    want = {}
+    for i, x in [*enumerate(needles), (0, "zero"), (None, "two  three")]:
+        for k, t in docs:
+            if x is not None and t is not None and x in t:
+                want[i] = min(k, want.get(i, k))
+    for n in (1000, 3):
+        assert {r.item_id: r.gold for r in first_containing(d, items, n).collect()} == want
