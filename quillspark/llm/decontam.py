@@ -15,8 +15,9 @@ shortest window) have the hash of some window's first ``m`` words: others
 cannot match, so the search over the sparse array finds the same.
 
 Defined results: null or wordless texts have no words, no hits and are clean;
-null or wordless items have no windows; repeated rows and items each count;
-items of equal text are all reported.
+items of null or wordless text have no windows; repeated rows and items each
+count; items of equal text are all reported; all items of a null id are one
+item, whose hits count and whose null stands first in ``items``.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int3
 class Windows(NamedTuple):
     """The windows of a benchmark: one entry of each array for each window."""
 
-    items: list[str]
+    items: list[str | None]
     width: int
     shortest: int  # words of the shortest window
     key: np.ndarray  # its word hashes as bytes, zeros behind a short one
@@ -53,7 +54,7 @@ class Windows(NamedTuple):
     slot: np.ndarray  # mark of its first ``shortest`` words
 
 
-def windows(items: list[tuple[str, str]], width: int = WINDOW) -> Windows:
+def windows(items: list[tuple[str | None, str]], width: int = WINDOW) -> Windows:
     """All windows of (item_id, text) rows; an item of fewer words than ``width`` is one."""
     each = []
     for k, (_, text) in enumerate(items):
@@ -117,6 +118,11 @@ def _add_matches(longest: list[list[dict]], rows: np.ndarray, at: np.ndarray, qu
             hi = max(hi, e)
 
 
+def _by_id(item_id: str | None) -> tuple[bool, str]:
+    """Sort key of ids: null first."""
+    return item_id is not None, item_id or ""
+
+
 def _covered(matches: list[dict]) -> int:
     """Words inside any match."""
     total = end = 0
@@ -148,8 +154,8 @@ def _search(docs: DataFrame, table: Windows, only_clean: bool, again: bool) -> D
                 yield batch.filter(pa.array([not m for m in longest], pa.bool_()))
                 continue
             for m in longest:
-                m.sort(key=lambda x: (x["doc_word"], x["item_id"], x["item_word"]))
-            for (name, _, kind), value in zip(added, (n_words, [_covered(m) for m in longest], [sorted({x["item_id"] for x in m}) for m in longest], longest)):
+                m.sort(key=lambda x: (x["doc_word"], _by_id(x["item_id"]), x["item_word"]))
+            for (name, _, kind), value in zip(added, (n_words, [_covered(m) for m in longest], [sorted({x["item_id"] for x in m}, key=_by_id) for m in longest], longest)):
                 batch = tc.set_column(batch, name, pa.array(value, kind))
             yield batch
 
@@ -168,7 +174,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, only_cle
     searched in blocks of items, one pass each, with the rows written to the
     shared folder in between; one item of more words is an error.
     """
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Z]+"), 0))  # at least as many as the words
     total = items.agg(F.coalesce(F.sum(n_words), F.lit(0))).first()[0]
     n_blocks = 1 if total <= block_words else -(-2 * total // block_words)

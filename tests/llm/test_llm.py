@@ -118,6 +118,16 @@ def test_decontaminate(spark, docs, empty):
         decontam.matches(docs, many, block_words=20)
 
 
+def test_decontaminate_with_null_item_ids(spark):
+    docs = spark.createDataFrame([(1, "a red fox and a blue hen"), (2, "a blue hen"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "red fox"), (None, "blue hen"), ("7", "blue hen"), (None, None), (None, "..")], "item_id string, text string")
+    for n in (1000, 4):
+        got = {r.doc_id: r for r in decontam.matches(docs, bench, block_words=n).collect()}
+        assert [(got[k].n_hit, got[k]["items"]) for k in (1, 2, 3)] == [(4, [None, "7"]), (2, [None, "7"]), (0, [])]
+        assert [m.item_id for m in got[1].matches] == [None, None, "7"]
+        assert [r.doc_id for r in decontam.decontaminate(docs, bench, block_words=n).collect()] == [3]
+
+
 def test_language(spark, docs, empty):
     text = {"en": "the quick brown fox and the lazy dog ", "fr": "où est la bibliothèque de l'école "}
     known = spark.createDataFrame([(i, text[k] * 3, k) for i, k in enumerate(["en", "fr"] * 10)], "doc_id long, text string, lang string")
