@@ -15,16 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary one is chosen.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset and all of Spark is one local process (tests), a
+    temporary folder is chosen; a cluster without the setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="quillspark-")
 
 
 def literal_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
