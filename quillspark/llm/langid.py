@@ -3,11 +3,13 @@
 The model is a matrix of log probabilities, languages x 2**HASH_BITS, counted
 by Spark over a bounded sample of labelled rows and broadcast; whole texts are
 scored batch by batch in numpy.  Every language is learned: more than
-BLOCK_LANGS are scored in blocks, one pass each, with a running best and sum.  Character n-grams (one to three code points)
-come from the lower-cased text with digits and punctuation as spaces.
+BLOCK_LANGS are scored in blocks, one pass each, with a running best and sum.
+Character n-grams (one to three code points) come from the lower-cased text
+with all but letters and marks as spaces; code points above U+FFFF stay as
+they are.
 
-Defined results: a null text, or one with no letter, is ``und`` with score 0;
-so is every text if nothing was learned.  Rows with a null lang teach nothing.
+Defined results: a null text, or one with no letter (Unicode category L), is
+``und`` with score 0; so is every text if nothing was learned.  Rows with a null lang teach nothing.
 Ties go to the first language by code point.  Repeated rows score alike.
 """
 
@@ -28,12 +30,17 @@ from .common import checkpointed, extended, literal_table, without
 
 HASH_BITS = 15
 ORDERS = (1, 2, 3)
-#: Rows learned from are sampled by hash down to about this many of each language, and this many characters of each.
+#: Rows learned from are sampled by hash down to about this many of each language; their texts are read whole.
 ROWS_OF_LANG = 3000
 ALPHA = 0.5
 #: Languages scored at once; bounds the broadcast matrix (34 MB at 2**15 cells in float32).
 BLOCK_LANGS = 256
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and numerals such as a half
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is of Unicode category L."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
 
 
 def _fold():
@@ -159,7 +166,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | Blocks) -> D
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for a, b in tc.pieces(offs) if langs else ():
                 part = column.slice(a, b - a).to_pylist()
-                ok = [i for i, t in enumerate(part) if t and LETTER.search(t)]
+                ok = [i for i, t in enumerate(part) if has_letter(t)]
                 if not ok:
                     continue
                 logs = _logs([part[i] for i in ok], logp)
@@ -186,7 +193,7 @@ def _identify_blocks(docs: DataFrame, model: Blocks) -> DataFrame:
                 pred, total, top = was.to_pylist(), np.array(total.to_pylist()), np.array(top.to_pylist())
                 for a, b in tc.pieces(offs):
                     part = column.slice(a, b - a).to_pylist()
-                    ok = [i for i, t in enumerate(part) if t and LETTER.search(t)]
+                    ok = [i for i, t in enumerate(part) if has_letter(t)]
                     if not ok:
                         continue
                     at = a + np.array(ok)
