@@ -17,6 +17,8 @@ columns of their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ def communication_matrix(blocks: list[int], n_shards: int, seed: int) -> np.ndar
     out = np.zeros((len(blocks), n_shards), np.int64)
     for i, n in enumerate(blocks):
         remaining, need = int(left.sum()), int(n)
-        for s in range(n_shards):  # the marginals one by one: exact at any size
+        for s in range(n_shards):  # the marginals one by one
             if need == 0:
                 break
             remaining -= int(left[s])
@@ -48,12 +50,28 @@ def communication_matrix(blocks: list[int], n_shards: int, seed: int) -> np.ndar
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric; numpy's is defined below 10**9, beyond which halves are drawn."""
+    """Hypergeometric; numpy's is defined below 10**9, beyond which the distribution function is inverted."""
+    if n == 0 or good == 0:
+        return 0
     if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    a, b = good // 2, bad // 2
-    k = int(np.clip(round(rng.normal(n * (a + b) / (good + bad), np.sqrt(n * 0.25 * (1 - n / (good + bad))))), max(0, n - (good - a) - (bad - b)), min(n, a + b)))
-    return _draw(rng, a, b, k) + _draw(rng, good - a, bad - b, n - k)
+        return int(rng.hypergeometric(good, bad, n))
+    return int(_inverse(good, bad, n, rng.random()))
+
+
+def _inverse(good: int, bad: int, n: int, u: float) -> int:
+    """Where the hypergeometric distribution function passes ``u``.
+
+    The terms are summed from their ratios around the mode, out to 12 standard
+    deviations; all others together are below the precision of a double.
+    """
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1))) + 40
+    low, high = max(0, n - bad, int(mode - reach)), min(n, good, int(mode + reach))
+    k = np.arange(low, high, dtype=np.float64)
+    log = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (k + 1) * (n - k) / (bad - n + k + 1)))])
+    mass = np.cumsum(np.exp(log - log.max()))
+    return low + min(int(np.searchsorted(mass, u * mass[-1], "right")), high - low)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 20) -> DataFrame:
