@@ -6,10 +6,13 @@ The exact numbers of blocks of all sources are split among the output shards
 by a tree: each node sends half of its shards a multivariate hypergeometric
 draw of its quotas, down to single shards.  Each source's blocks, permuted,
 then go to the shards by those quotas, and every shard shuffles its pieces by
-a hash.  Documents are placed in their stream by two sums, one over parts of a
-source and one inside a part, so that no task holds a whole source.
+a hash: shard and place of every piece are columns of the result, and the mix
+as documents is written shard by shard in that order.  Documents are placed in
+their stream by two sums, one over parts of a source and one inside a part,
+whose number grows with the rows, so that no task holds a whole source.
 
-Only DataFrame functions run over rows; the driver holds one line per source.
+Only DataFrame functions run over rows; the driver holds one line per source,
+of about 1 kB up to 1,024 sources and of 0.1 kB or more beyond.
 
 Defined results: null, empty and wordless texts have size 0 and are never
 taken; a null source is a source of its own, last in order; repeated rows are
@@ -27,8 +30,12 @@ from .common import checkpointed, literal_table, without
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, MOST = 1.5, 2.0
-#: Parts of each source's stream that are summed apart; words of a block at least, blocks of a source at most.
-PARTS, BLOCK_WORDS, MAX_BLOCKS = 512, 256, 256
+#: Rows of each part of a source's stream that is summed apart, about, if it held all rows.
+ROWS_OF_PART = 2048
+#: Words of a block at least; blocks of a source at most, and of all sources together, about.
+BLOCK_WORDS, MAX_BLOCKS, ALL_BLOCKS = 256, 256, 1 << 18
+#: Slices of a shard, by place, that are put in order apart from each other, as a power of two.
+SLICE_BITS = 6
 #: Sources up to which their table (about 1 kB each) is broadcast; with more it is joined by shuffle.
 BROADCAST_SOURCES = 4096
 
@@ -76,20 +83,23 @@ def splitting_tree(quotas: np.ndarray, n_shards: int, rng: np.random.Generator)
 def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, weights=WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """``docs`` with size, source_size, target, taken and pieces: what each output shard takes of the document.
 
-    ``pieces``: array of (shard, epoch, from_word, n_words, place); a shard's
-    rows are read in order of ``place``.
+    ``pieces``: array of (shard, block, epoch, from_word, n_words, place), block
+    being its number in the source's stream; a shard's pieces are read in order
+    of ``place``.
     """
     new = ("size", "source_size", "target", "taken", "pieces")
+    n_parts = max(1, -(-docs.count() // ROWS_OF_PART))
     source = F.col("source").cast("string")
     base = docs.select(*without(docs, *new), words_in(F.col("text")).alias("size"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("v"), source)).alias("__ql_source"))
-    base = base.withColumn("__ql_h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("__ql_part", F.pmod("__ql_h", F.lit(PARTS)).cast("int"))
+    base = base.withColumn("__ql_h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("__ql_part", F.pmod("__ql_h", F.lit(n_parts)))
     parts = checkpointed(base.groupBy("__ql_source", "__ql_part").agg(F.sum("size").alias("words")))
     sizes = {None if r[0] == "n" else r[0][1:]: int(r[1]) for r in parts.groupBy("__ql_source").agg(F.sum("words")).collect()}
     aim = targets(sizes, weights, total, most)
     order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     rng = np.random.default_rng(seed)
     words = [min(int(aim[s] + 0.5), int(most * sizes[s])) for s in order]
-    block = [max(BLOCK_WORDS, -(-w // MAX_BLOCKS)) for w in words]
+    most_blocks = min(MAX_BLOCKS, max(n_shards, ALL_BLOCKS // max(1, len(order))))
+    block = [max(BLOCK_WORDS, -(-w // most_blocks)) for w in words]
     quotas = np.array([-(-w // b) for w, b in zip(words, block)], np.int64)
     tree = splitting_tree(quotas, n_shards, rng) if len(order) else np.zeros((n_shards, 0), np.int64)
     rows = []
@@ -119,6 +129,7 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, weights=WEIGHTS, tot
             F.sequence(F.floor(r["a"] / b), F.floor((r["z"] - 1) / b)),
             lambda k: F.struct(
                 F.element_at("home", (k + 1).cast("int")).alias("shard"),
+                k.cast("long").alias("block"),
                 r["e"].cast("int").alias("epoch"),
                 (F.greatest(r["a"], k * b) - r["a"]).alias("from_word"),
                 (F.least(r["z"], (k + 1) * b) - F.greatest(r["a"], k * b)).alias("n_words"),
@@ -132,6 +143,12 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, weights=WEIGHTS, tot
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as rows of ``docs``: a document once for each epoch in which it is taken; whole, also where the target cuts its last words off."""
-    got = mix(docs, **how)
-    return got.withColumn("__ql_epoch", F.explode(F.array_distinct(F.transform("pieces", lambda p: p["epoch"])))).select(docs.columns)
+    """The mix as rows of ``docs``, in order of shard and place: a document once for each epoch in which it is taken.
+
+    A document stands whole where its first piece of that epoch goes, also where
+    the target cuts its last words off.
+    """
+    first = F.filter("pieces", lambda p: p["from_word"] == 0)  # one of each epoch
+    got = mix(docs, **how).select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(first).alias("__ql_piece"))
+    slices = F.shiftrightunsigned("__ql_piece.place", 64 - SLICE_BITS)
+    return got.repartition("__ql_piece.shard", slices).sortWithinPartitions("__ql_piece.shard", "__ql_piece.place").select(docs.columns)

@@ -10,7 +10,9 @@ from .common import table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    where = (F.col(f"pieces.{c}").alias(f"piece_{c}") for c in ("shard", "block", "place"))
+    return got.select("doc_id", "size", "source_size", "target", "taken", *where)
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
