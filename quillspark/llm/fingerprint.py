@@ -8,11 +8,18 @@ weight to ``t = floor(ln w / r + b)`` and scores the term with
 the same sample with a probability that equals their generalised Jaccard
 similarity, so the share of equal samples estimates it.  Draws come from
 quantile tables indexed by hash bits; a sample is kept as 16 bits of its score.
+ln c has 2**20 levels, so the least scores of texts of about a million
+different shingles tie more often than they should: such texts look somewhat
+more alike than they are.
+
+Rows are dealt to ranges by (doc_id, hash of the text), one task a range, and
+the number of ranges grows with the rows; only rows equal in both stay in one
+range whatever their number.
 
 Defined results: null is the empty text; a text of one to four words is one
 shingle; texts without words have the fingerprint of zeros, are 1 alike among
-themselves and 0 to others; rows of one doc_id follow each other in order of
-their text; one document is its own next; a null doc_id sorts first.
+themselves and 0 to others; rows of one doc_id follow each other in order of a
+hash of their text; one document is its own next; a null doc_id sorts first.
 """
 
 from __future__ import annotations
@@ -130,8 +137,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id and text dealt to ranges of ids: (range, last, doc_id, text).
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id and text dealt to ranges of ids, (range, last, doc_id, text), and the number of ranges.
 
     Each range also holds the first row of the next range, marked ``last``,
     so that every row's next row stands in its own range.
@@ -140,13 +147,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = docs.count()
     n_ranges = max(1, min(MAX_RANGES, -(-n // ROWS_OF_RANGE)))
-    cuts: list[int] = []
-    if n_ranges > 1:  # bounds from at most about MAX_RANGES * IDS_OF_RANGE sampled ids; they only balance the ranges
-        spread = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-        ids = np.sort(base.where(F.col("doc_id").isNotNull()).where(spread < min(1.0, IDS_OF_RANGE * n_ranges / n)).select("doc_id").toArrow().column(0).to_numpy())
-        cuts = sorted({int(ids[len(ids) * k // n_ranges]) for k in range(1, n_ranges)}) if len(ids) else []
-    ranged = base.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(F.col("doc_id"), cuts)).cast("int"))
     low = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    key = F.struct(low.alias("i"), F.xxhash64("text").alias("h"))
+    cuts: list[tuple[int, int]] = []
+    if n_ranges > 1:  # bounds from at most about MAX_RANGES * IDS_OF_RANGE sampled keys; they only balance the ranges
+        spread = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+        keys = base.where(spread < min(1.0, IDS_OF_RANGE * n_ranges / n)).select(key.alias("k")).select("k.i", "k.h").toArrow()
+        keys = sorted(zip(keys.column(0).to_pylist(), keys.column(1).to_pylist()))
+        cuts = sorted({keys[len(keys) * k // n_ranges] for k in range(1, n_ranges)}) if keys else []
+    ranged = base.withColumn("range", _range_of(key, cuts).cast("int"))
     firsts = ranged.groupBy("range").agg(F.min(F.struct(low.alias("i"), F.xxhash64("text").alias("h"))).alias("f")).collect()  # one row a range
     used = sorted((r["range"], r["f"]["i"], r["f"]["h"]) for r in firsts)
     # the first row of a range also goes to the range before it, that of the first to the last
@@ -154,16 +163,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     sent = ranged.withColumn("__i", low).withColumn("__h", F.xxhash64("text")).join(F.broadcast(heads), (F.col("__i") == F.col("i")) & (F.col("__h") == F.col("h")), "left")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("last"))
     both = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("range"), F.lit(True).alias("last"))))
-    return sent.select("doc_id", "text", F.explode(both).alias("x")).select("x.range", "x.last", "doc_id", "text")
+    return sent.select("doc_id", "text", F.explode(both).alias("x")).select("x.range", "x.last", "doc_id", "text"), n_ranges
 
 
 def _range_of(c, cuts):
-    """Number of cuts at or below the id: by halves, and beyond CUTS cuts by halves among every CUTS-th and then inside one array."""
+    """Number of cuts at or below the key: by halves, and beyond CUTS cuts by halves among every CUTS-th and then inside one array."""
     if len(cuts) <= CUTS:
         return _halves(c, cuts, 0, len(cuts))
     parts = [cuts[k : k + CUTS] for k in range(0, len(cuts), CUTS)]
     part = _halves(c, [p[0] for p in parts[1:]], 0, len(parts) - 1)
-    listed = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    listed = F.from_json(F.lit(json.dumps([[{"i": i, "h": h} for i, h in p] for p in parts])), "array<array<struct<i:bigint,h:bigint>>>")
     return part * CUTS + F.size(F.filter(F.element_at(listed, part + 1), lambda x: x <= c))
 
 
@@ -172,7 +181,9 @@ def _halves(c, cuts, a, b):
     if a == b:
         return F.lit(a)
     m = (a + b) // 2
-    return F.when(c < F.lit(cuts[m]), _halves(c, cuts, a, m)).otherwise(_halves(c, cuts, m + 1, b))
+    i, h = cuts[m]
+    below = (c["i"] < i) | ((c["i"] == i) & (c["h"] < h))
+    return F.when(below, _halves(c, cuts, a, m)).otherwise(_halves(c, cuts, m + 1, b))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -181,9 +192,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text of a row has its last floor(n_chars / 2) code points
     replaced by as many of the next row's first ones, or all it has.
     """
-    rows = with_next(docs)
-    n = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    dealt = rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range").sortWithinPartitions("range", "last", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows, n_ranges = with_next(docs)
+    dealt = rows.repartitionById(n_ranges, F.col("range")).sortWithinPartitions("range", "last", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def each(batches):
