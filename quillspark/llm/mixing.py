@@ -31,7 +31,7 @@ from .common import checkpointed, literal_table, without
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, MOST = 1.5, 2.0
 #: Rows of each part of a source's stream that is summed apart, about, if it held all rows.
-ROWS_OF_PART = 2048
+ROWS_OF_PART = 512
 #: Words of a block at least; blocks of a source at most, and of all sources together, about.
 BLOCK_WORDS, MAX_BLOCKS, ALL_BLOCKS = 256, 256, 1 << 18
 #: Slices of a shard, by place, that are put in order apart from each other, as a power of two.
