@@ -9,16 +9,26 @@ under every one of them:
 * order R, rarest first.  How common a token is comes from a counting table
   over all documents, with a fixed number of cells: a fixed size to broadcast
   whatever the input.  Passages that many documents share stand last in this
-  order, so they are in almost no prefix and make no candidates.
+  order, so they are in few prefixes.  A cell of a larger input holds more
+  other tokens, but their number varies only by its square root, so tokens
+  far above that stay last.
 * orders B and C, two independent pseudo-random orders, which intersect the
-  candidates of order R before any set is compared.
+  candidates of order R before any set is moved: of the tokens that two sets
+  have up to the end of the shorter prefix so many have to be shared that
+  the rest can still add up to a link.
+
+Texts are read four times: for the counts, for the summaries (prefixes under
+all orders, kept without the text), and for the sets of the candidates that
+passed all orders, of the stars and of the join.
 
 Sets equal as a whole form a class first, and only its representative joins,
 so copies are never expanded into pairs.  Near copies are contracted before
-the join, too: representatives that share the first token under a random
-order are compared with one leader of that group (a star, not all pairs);
-the exact join then looks only at pairs that are not yet in one component.
-Every kept candidate is verified with the exact 64-bit shingle sets.
+the join, too: representatives whose first tokens under two of three random
+orders agree are compared with leaders of their group (a star of two levels,
+not all pairs); the exact join then looks only at pairs that are not yet in
+one component.  A token that more than PART_ROWS prefixes share is joined in
+parts, so that no task holds all of them.  Every kept candidate is verified
+with the exact 64-bit shingle sets.
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing; texts of one to four words are one shingle; repeated rows of one
@@ -45,8 +55,10 @@ CELL_BITS, CHUNK_BITS = 20, 12
 #: Random orders used for the stars, and for orders B and C.
 STAR_SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1)
 B_SEED, C_SEED = 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1
-#: Bits of the table that says which documents are candidates (2 MB), as a power of two.
-BLOOM_BITS = 24
+#: Bits of the table that says which documents are candidates: 16 for each, from 2**16 to 2**30 (128 MB).
+ID_BITS, LEAST_BITS, MOST_BITS = 16, 16, 30
+#: A token in this many documents or more may be in too many prefixes for one task; prefixes of one token joined at once; parts of a star.
+HOT_COUNT, PART_ROWS, STAR_PARTS = 4096, 2048, 64
 
 
 def prefix_length(n: int) -> int:
@@ -96,123 +108,175 @@ def _order_r(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _prefix_random(u: np.ndarray, seed: int) -> np.ndarray:
-    """32-bit marks of the prefix of ``u`` under a random order (equal tokens have equal marks)."""
+    """The prefix of ``u`` under a random order, each token as the upper 32 bits of its place, in order."""
     v = tc.mix(u ^ np.uint64(seed))
     p = prefix_length(len(v))
-    return np.sort((np.partition(v, p - 1)[:p] if p < len(v) else v) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return np.sort((np.partition(v, p - 1)[:p] if p < len(v) else v) >> np.uint64(32)).astype(np.uint32)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
+    """Whether sets of n and m tokens with prefixes ``x`` and ``y`` under one order can share the ``4 (n + m) / 9`` tokens of a link.
+
+    All tokens before the end of the shorter prefix are known of both sets; of
+    the others at most all can be shared.
+    """
+    end = min(x[-1], y[-1])
+    a, b = x[: np.searchsorted(x, end)], y[: np.searchsorted(y, end)]
+    shared = int(np.isin(a, b, kind="sort").sum()) if len(a) and len(b) else 0
+    return 9 * (shared + min(n - len(a), m - len(b))) >= 4 * (n + m)
+
+
+SUMMARY = "doc_id long, n_shingles long, set_key binary, stars array<long>, prefix array<long>, n_cold int, b binary, c binary"
 
 
 def summaries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), stars (first token under each star order), prefix (order R)."""
+    """doc_id, n_shingles, set_key (equal for equal sets), stars (keys of the stars), prefix (order R; of ``n_cold`` tokens not too common), b, c (prefixes under these orders)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
 
     def each(batches):
         cells = shared.value
-        for batch in tc.small(batches):
-            size, key, stars, prefix = [], [], [], []
+        for batch in tc.small(batches, 256):
+            columns = [[] for _ in range(7)]
             for _, u in _sets(batch):
                 n = len(u)
-                size.append(n)
-                if n:
-                    key.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
-                    stars.append([int(x) for x in (tc.mix(u ^ np.uint64(s)).min().astype(np.int64) for s in STAR_SEEDS)])
-                    prefix.append(_order_r(u, cells)[: prefix_length(n)].astype(np.int64))
-                else:
-                    key.append(None), stars.append(None), prefix.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "stars", "prefix"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, n_shingles long, set_key binary, stars array<long>, prefix array<long>")
-
-
-def _candidate_bits(ids: DataFrame) -> np.ndarray:
-    """Bit table of the ids; of a fixed size, it may let others pass but never stops one of them."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_BITS))
-    words = ids.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << BLOOM_BITS}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(1 << BLOOM_BITS >> 6, np.int64)
-    for w, b in words.collect():  # at most 2**(BLOOM_BITS - 6) rows
-        out[w] = b
+                if not n:
+                    for k, c in enumerate(columns):
+                        c.append(None if k else 0)
+                    continue
+                low = [tc.mix(u ^ np.uint64(s)).min() for s in STAR_SEEDS]
+                stars = tc.mix(np.array([low[0] * np.uint64(3) + low[1], low[1] * np.uint64(3) + low[2], low[2] * np.uint64(3) + low[0]], np.uint64))
+                prefix = _order_r(u, cells)[: prefix_length(n)]
+                cold = int((cells[(prefix >> np.uint64(64 - CELL_BITS)).astype(np.int64)] < HOT_COUNT).sum())  # the common ones stand last
+                key = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+                for c, x in zip(columns, (n, key, stars.astype(np.int64), prefix.astype(np.int64), cold, _prefix_random(u, B_SEED).tobytes(), _prefix_random(u, C_SEED).tobytes())):
+                    c.append(x)
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary())
+            names = ["doc_id", "n_shingles", "set_key", "stars", "prefix", "n_cold", "b", "c"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, kinds)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, SUMMARY)
+
+
+def _id_bits(pairs: DataFrame) -> np.ndarray:
+    """Bit table of the ids at both ends; of a bounded size, it may let others pass but never stops one of them."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (ID_BITS * 2 * pairs.count()).bit_length()))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("h"))
+    words = ids.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()  # at most size / 64 rows
+    out = np.zeros(size >> 6, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out.view(np.uint64)
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose sets pass orders B and C and have Jaccard similarity of at least 0.8."""
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << BLOOM_BITS))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), slot.alias("slot"))
+def _of_pairs(rows: DataFrame, pairs: DataFrame, schema: str, each) -> DataFrame:
+    """``each`` (batch to arrays) of the rows that may stand at an end of the pairs, as (id, ...) by ``schema``."""
+    table = _id_bits(pairs)
+    bits, size = rows.sparkSession.sparkContext.broadcast(table), len(table) << 6
+    names = ["id", *(x.split()[0] for x in schema.split(", "))]
+
+    def pick(batches):
+        table = bits.value
+        for batch in tc.small(batches):
+            at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+            batch = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *each(batch)], names=names)
+
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(size)).alias("slot")
+    known = rows.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")).select("*", slot)
+    return known.mapInArrow(pick, f"id long, {schema}")
+
+
+def _at_both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """The pairs with the columns of ``values`` (id, ...) of both ends, named by the end behind the name."""
+    for end in ("b", "a"):
+        pairs = pairs.join(values.select(*(F.col(c).alias(end if c == "id" else f"{c}_{end}") for c in values.columns)), end)
+    return pairs
 
-    def sets_of(end: str) -> DataFrame:
-        """Ids and sets of the documents at this end of the pairs: leaders of stars are few, so each end sends only its own."""
-        bits = docs.sparkSession.sparkContext.broadcast(_candidate_bits(pairs.select(F.col(end).alias("id"))))
 
-        def sets(batches):
-            table = bits.value
-            for batch in tc.small(batches):
-                at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
-                keep = pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-                batch = batch.filter(keep)
-                got = [u.tobytes() for _, u in _sets(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], names=[end, f"t{end}"])
+def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of doc_ids those whose sets pass orders B and C (from ``rows``, the summaries) and then have Jaccard similarity of at least 0.8."""
 
-        return rows.mapInArrow(sets, f"{end} long, t{end} binary")
+    def pass_orders(batches):
+        for batch in tc.small(batches, 256):
+            got = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "b_a", "b_b", "c_a", "c_b")]
+            keep = [
+                5 * min(n, m) >= 4 * max(n, m) and all(may_link(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) for x, y in ((b1, b2), (c1, c2)))
+                for n, m, b1, b2, c1, c2 in zip(*got)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def check(batches):
         for batch in tc.small(batches, 256):
             keep = []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+            for x, y in zip(batch.column("t_a").to_pylist(), batch.column("t_b").to_pylist()):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok = 5 * min(len(u), len(v)) >= 4 * max(len(u), len(v))
-                for seed in (B_SEED, C_SEED) if ok else ():
-                    ok = ok and len(np.intersect1d(_prefix_random(u, seed), _prefix_random(v, seed), assume_unique=False)) > 0
-                if ok:
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    ok = 100 * both >= 80 * (len(u) + len(v) - both)
-                keep.append(bool(ok))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(100 * both >= 80 * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets_of("b"), "b").join(sets_of("a"), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
+    prefixes = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "b", "c")
+    marks = _of_pairs(prefixes, pairs, "n long, b binary, c binary", lambda batch: [batch.column(c) for c in ("n_shingles", "b", "c")])
+    passed = _at_both_ends(pairs, marks.select("id", "n", "b", "c"))
+    passed = checkpointed(passed.select("a", "b", *(f"{c}_{end}" for c in "nbc" for end in "ab")).mapInArrow(pass_orders, "a long, b long").distinct())
+    sets = _of_pairs(docs.select("doc_id", F.col("text").cast("string")), passed, "t binary", lambda batch: [pa.array([u.tobytes() for _, u in _sets(batch)], pa.binary())])
+    return _at_both_ends(passed, sets).select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long").distinct()
 
 
 def star_pairs(reps: DataFrame) -> DataFrame:
-    """Representatives with the same first token under a star order, each with the smallest of its group."""
-    each = reps.select("rep", F.posexplode("stars").alias("k", "token"))
-    lead = each.groupBy("k", "token").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return each.join(lead, ["k", "token"]).where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b")).distinct()
+    """Representatives (rep, stars) with the same key, each with the smallest of its part of the group, and these with the smallest of all."""
+    each = reps.select("rep", F.pmod(F.xxhash64("rep"), F.lit(STAR_PARTS)).alias("part"), F.posexplode("stars").alias("k", "token"))
+    leads = each.groupBy("k", "token", "part").agg(F.min("rep").alias("a"), F.count("*").alias("c"))
+    top = leads.groupBy("k", "token").agg(F.min("a").alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    inner = each.join(leads.where("c > 1"), ["k", "token", "part"]).where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
+    outer = leads.join(top, ["k", "token"]).where(F.col("a") > F.col("top")).select(F.col("top").alias("a"), F.col("a").alias("b"))
+    return inner.unionByName(outer).distinct()
 
 
-def prefix_pairs(reps: DataFrame) -> DataFrame:
-    """Representatives (rep, grp, n, prefix) of different groups that share a prefix token under order R.
+def prefix_pairs(reps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Representatives (rep, grp, n, prefix, n_cold) of different groups that share a prefix token under order R.
 
     Of two sets of n <= m tokens, the needed overlap is ``ceil(4 (n + m) / 9)``;
     a match at positions i, j can be the pair's first match only if so many
     tokens can still be shared, which every link's first match fulfils.
+
+    A token that may be common is counted first.  It is left out if only one
+    group has it, and joined in parts of about ``part_rows`` prefixes: each
+    part with itself and with each other part.
     """
-    each = reps.select("rep", "grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    x = each.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "grp", "n", "pos")))
-    y = each.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "grp", "n", "pos")))
-    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("grp_a") != F.col("grp_b"))
-    near &= (F.col("n_a") * 5 >= F.col("n_b") * 4) & (F.col("n_b") * 5 >= F.col("n_a") * 4)
-    near &= left * 9 >= (F.col("n_a") + F.col("n_b")) * 4
-    return x.join(y, "token").where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    each = reps.select("rep", "grp", "n", "n_cold", F.posexplode("prefix").alias("pos", "token"))
+
+    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+        x, y = (rows.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("rep", "grp", "n", "pos"))) for end in "ab")
+        left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        near = (F.col("rep_a") < F.col("rep_b")) & (F.col("grp_a") != F.col("grp_b"))
+        near &= (F.col("n_a") * 5 >= F.col("n_b") * 4) & (F.col("n_b") * 5 >= F.col("n_a") * 4)
+        near &= left * 9 >= (F.col("n_a") + F.col("n_b")) * 4
+        return x.join(y, keys).where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+    common = each.where("pos >= n_cold")
+    many = common.groupBy("token").agg(F.count("*").alias("c"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("c > 1 and low <> high")
+    parts = many.select("token", F.ceil(F.col("c") / part_rows).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = common.join(parts, "token").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    return joined(each.where("pos < n_cold"), ["token"]).unionByName(joined(dealt, ["token", "i", "j"])).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; see the module's text for odd inputs."""
-    counts = token_counts(docs)
-    rows = summaries(docs, counts)
+    rows = checkpointed(summaries(docs, token_counts(docs)))
     member = rows.select("doc_id", "n_shingles", "set_key")
     known = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     first = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = checkpointed(
-        known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("stars").alias("stars"), F.first("prefix").alias("prefix"))
-    )
-    star_links = checkpointed(verify(docs, checkpointed(star_pairs(reps))))
+
+    def reps(*columns: str) -> DataFrame:
+        return known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in columns)).drop("set_key")
+
+    star_links = checkpointed(verify(docs, rows, checkpointed(star_pairs(reps("stars")))))
     groups = components(star_links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    grouped = reps.drop("set_key", "stars").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
-    links = verify(docs, checkpointed(prefix_pairs(grouped)))
+    grouped = reps("n_shingles", "prefix", "n_cold").withColumnRenamed("n_shingles", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    grouped = grouped.withColumn("grp", F.coalesce("component", "rep")).drop("component")
+    links = verify(docs, rows, checkpointed(prefix_pairs(grouped)))
     edges = links.unionByName(star_links)
     found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = first.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
