@@ -7,13 +7,11 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, jaccard, langid, mixing, sharding
-from quillspark.llm.common import table
+from quillspark.llm.common import shared_folder, table
 
 #: A document goes if its language is unknown or less likely than this.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -49,8 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written to the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-pipeline-")
-    base = f"{shared.rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
