@@ -23,6 +23,11 @@ REDACTIONS = (
 BOILERPLATE = "(cookie|subscribe|all rights reserved|sign in|privacy policy|licensed under|terms of (use|service))"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """Retrieval tokens, lower-cased."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), F.lower)
@@ -41,18 +46,23 @@ def words(text: Column) -> Column:
 
 def word_chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Windows of ``size`` words, each beginning ``size - overlap`` after the last; the window that reaches the end is the last."""
-    w = words(text)
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / F.lit(size - overlap))).cast("int")
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * (size - overlap) + 1, size), " "))
-    )
+
+    def chunks(w):
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / F.lit(size - overlap))).cast("int")
+        some = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * (size - overlap) + 1, size), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(some)
+
+    return bound(words(text), chunks)
 
 
 def line_chunks(text: Column, size: int = 80) -> Column:
     """Runs of ``size`` lines; the last has the rest."""
-    lines = F.split(text, "\n")
-    last = F.floor((F.size(lines) - 1) / F.lit(size)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(lines, k * size + 1, size), "\n"))
+
+    def chunks(lines):
+        last = F.floor((F.size(lines) - 1) / F.lit(size)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(lines, k * size + 1, size), "\n"))
+
+    return bound(F.split(text, "\n"), chunks)
 
 
 def squeezed(text: Column) -> Column:

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` from the shared checkpoint folder, its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
+from ..session import settled
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -23,22 +15,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").cast("long").alias("in_degree"), F.sum("o").cast("long").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of steps; the mass of nodes without an outgoing edge goes to all."""
+def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
+    """(node, rank) after a fixed number of steps; the mass of nodes without an outgoing edge goes to all.
+
+    Each step's ranks are settled, so its plan does not hold the steps before it.
+    """
     e = edges.where("src <> dst").select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("deg"))
-    links = settled(e.join(out, "src"))
-    nodes = settled(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(out.withColumnRenamed("src", "node"), "node", "left"))
+    links = settled(e.join(out, "src").select("src", "dst", (1 / F.col("deg")).alias("share")))
+    nodes = settled(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(out.select(F.col("src").alias("node"), F.lit(False).alias("loose")), "node", "left"))
+    nodes = nodes.select("node", F.coalesce("loose", F.lit(True)).alias("loose"))
     n = nodes.count()
-    if n == 0:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
-    rank = nodes.select("node", "deg", F.lit(1.0 / n).alias("rank"))
-    for k in range(iterations):
-        loose = rank.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        got = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        rank = nodes.join(got, "node", "left").crossJoin(F.broadcast(loose)).select("node", "deg", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if (k + 1) % every == 0:
-            rank = settled(rank)
+    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for _ in range(iterations if n else 0):
+        loose = rank.where("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        got = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = settled(nodes.join(got, "node", "left").select("node", "loose", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank")))
     return rank.select("node", F.round("rank", 12).alias("rank"))
 
 
@@ -75,7 +67,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     label = settled(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
     for _ in range(rounds):
         least = e.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        low = label.join(least, "node").select("node", F.least("component", "near").alias("component"))
+        low = settled(label.join(least, "node").select("node", F.least("component", "near").alias("component")))
         jump = low.join(low.select(F.col("node").alias("component"), F.col("component").alias("root")), "component").select("node", F.col("root").alias("component"))
         new = settled(jump)
         if new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty():

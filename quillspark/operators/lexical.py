@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settled
 
 K1, B = 1.5, 0.75
+#: Query terms (of all queries) up to which their weights are broadcast, about 60 bytes each.
+BROADCAST_TERMS = 1_000_000
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -32,20 +35,30 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 4) -> Da
     """(item_id, doc_id, score, rank): best ``k`` documents of each query.
 
     Repeated query terms count repeatedly; scores are divided by the query's
-    best and ordered after rounding, ties by doc_id.  Only postings of query
-    terms are shuffled: the documents are cut down to them as they are read.
+    best and ordered after rounding, ties by doc_id.  The text is read once and
+    cut down to query terms before anything is shuffled; scores are summed where
+    a document's terms stand, and each task sends its best ``k`` of a query.
     """
     terms = queries.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
-    sized = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    found = sized.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = terms.select("term").distinct().withColumn("found", F.col("term"))
+    each = docs.select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("term"))
+    # the one pass over the text: (doc_id, term, tf) of the query terms, all other tokens of a document under null
+    counts = settled(each.join(wanted, "term", "left").groupBy("doc_id", F.col("found").alias("term")).agg(F.count("term").alias("tf")))
+    counts = counts.repartition("doc_id").select("doc_id", "term", "tf", F.sum("tf").over(Window.partitionBy("doc_id")).alias("dl"))
+    stats = counts.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    found = counts.where("term is not null")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    one = found.join(df, "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    raw = one.join(terms, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("raw"))
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("item_id", "term", "qtf", "avgdl", idf.alias("idf"))
+    weights = settled(weights)
+    weights_fit = weights.count() <= BROADCAST_TERMS  # and so are the queries, of which each has a term here
+    if weights_fit:
+        weights = F.broadcast(weights)
+    one = F.col("idf") * F.col("tf") * (K1 + 1) / norm
+    raw = found.join(weights, "term").groupBy("item_id", "doc_id").agg(F.sum(one * F.col("qtf")).alias("raw"))
     best = raw.groupBy("item_id").agg(F.max("raw").alias("top"))
-    scored = raw.join(best, "item_id").select("item_id", "doc_id", F.round(F.col("raw") / F.col("top"), digits).alias("score"))
+    scored = raw.join(F.broadcast(best) if weights_fit else best, "item_id").select("item_id", "doc_id", F.round(F.col("raw") / F.col("top"), digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
