@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import evidence, relational, retrieval, sessions, text, upkeep  # noqa: E402,F401  (they register their queries)
+from . import chunks, evidence, relational, retrieval, sessions, text, upkeep  # noqa: E402,F401  (they register their queries)
