@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import settled
 
 
+def by(key: str, *order: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy(*order)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, in_degree, out_degree) without loops and repeats."""
     e = edges.where("src <> dst").distinct()

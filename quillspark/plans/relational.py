@@ -316,7 +316,11 @@ def r13_all_blast_radius(spark, d):
     return graph.blast_radius(e, 3)
 
 
-def _rank_sql(iterations: int = 20, damping: float = 0.85) -> str:
+NATION_EDGES = """select distinct src, dst from (select o_orderkey + 10000000 as src, o_custkey + 1000 as dst from orders
+  union all select c_custkey + 1000, c_nationkey from customer) where src <> dst"""
+
+
+def _rank_sql(edges: str = NATION_EDGES, iterations: int = 20, damping: float = 0.85) -> str:
     """Every step of the ranking as a table of its own."""
     steps = "".join(
         f""",
@@ -324,7 +328,7 @@ r{k + 1} as materialized (select node, loose, {1 - damping}::double / n + {dampi
   from node left join (select dst as node, sum(rank * share) as got from link join r{k} on src = node group by dst) using (node), size)"""
         for k in range(iterations)
     )
-    return f"""with e as materialized (select distinct src, dst from (select o_orderkey + 10000000 as src, o_custkey + 1000 as dst from orders union all select c_custkey + 1000, c_nationkey from customer) where src <> dst),
+    return f"""with e as materialized ({edges}),
 link as materialized (select src, dst, 1.0::double / count(*) over (partition by src) as share from e),
 node as materialized (select node, node not in (select src from e) as loose from (select src as node from e union select dst from e)),
 size as materialized (select count(*) as n from node),

@@ -119,7 +119,10 @@ def w12_margin_to_runner_up(spark, d):
     return best.select("vec_id", F.col("label").alias("best"), F.col("s").alias("score"), F.round(gap, 6).alias("margin"), ((gap >= 0.12) & (F.col("s") >= 0.58)).alias("moves"))
 
 
-@query(f"""with {CEN} select a.label as a, b.label as b, round(list_dot_product(a.centroid, b.centroid) / sqrt(list_dot_product(a.centroid, a.centroid) * list_dot_product(b.centroid, b.centroid)), 4) as similarity from cv a join cv b on a.label < b.label""")
+SIMILAR = f"""with {CEN} select a.label as a, b.label as b, round(list_dot_product(a.centroid, b.centroid) / sqrt(list_dot_product(a.centroid, a.centroid) * list_dot_product(b.centroid, b.centroid)), 4) as similarity from cv a join cv b on a.label < b.label"""
+
+
+@query(SIMILAR)
 def j08_similar_clusters(spark, d):
     c = vector.centroid_vectors(load(spark, d, "embeddings"), "label")
     a, b = c.select(F.col("label").alias("a"), F.col("centroid").alias("u")), c.select(F.col("label").alias("b"), F.col("centroid").alias("v"))
