@@ -59,6 +59,8 @@ B_SEED, C_SEED = 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1
 ID_BITS, LEAST_BITS, MOST_BITS = 16, 16, 30
 #: A token in this many documents or more may be in too many prefixes for one task; prefixes of one token joined at once; parts of a star.
 HOT_COUNT, PART_ROWS, STAR_PARTS = 4096, 2048, 64
+#: Common tokens up to which their parts are broadcast, 12 bytes each.
+BROADCAST_TOKENS = 500_000
 
 
 def prefix_length(n: int) -> int:
@@ -108,10 +110,10 @@ def _order_r(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _prefix_random(u: np.ndarray, seed: int) -> np.ndarray:
-    """The prefix of ``u`` under a random order, each token as the upper 32 bits of its place, in order."""
+    """The prefix of ``u`` under a random order, each token as the upper 16 bits of its place, in order (tokens that share them only weaken the test)."""
     v = tc.mix(u ^ np.uint64(seed))
     p = prefix_length(len(v))
-    return np.sort((np.partition(v, p - 1)[:p] if p < len(v) else v) >> np.uint64(32)).astype(np.uint32)
+    return np.sort((np.partition(v, p - 1)[:p] if p < len(v) else v) >> np.uint64(48)).astype(np.uint16)
 
 
 def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
@@ -200,7 +202,7 @@ def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in tc.small(batches, 256):
             got = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "b_a", "b_b", "c_a", "c_b")]
             keep = [
-                5 * min(n, m) >= 4 * max(n, m) and all(may_link(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) for x, y in ((b1, b2), (c1, c2)))
+                5 * min(n, m) >= 4 * max(n, m) and all(may_link(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m) for x, y in ((b1, b2), (c1, c2)))
                 for n, m, b1, b2, c1, c2 in zip(*got)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -232,34 +234,39 @@ def star_pairs(reps: DataFrame) -> DataFrame:
     return inner.unionByName(outer).distinct()
 
 
-def prefix_pairs(reps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Representatives (rep, grp, n, prefix, n_cold) of different groups that share a prefix token under order R.
+def common_tokens(known: DataFrame, grp: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(token, parts) of the tokens behind the first ``n_cold`` of a prefix (set_key, prefix, n_cold): parts of about ``part_rows`` prefixes; 0 if only one group (set_key, grp) has the token."""
+    tail = known.where(F.size("prefix") > F.col("n_cold")).select("set_key", F.slice("prefix", F.col("n_cold") + 1, 1 << 30).alias("tail"))
+    each = tail.groupBy("set_key").agg(F.first("tail").alias("tail")).join(grp, "set_key").select("grp", F.explode("tail").alias("token"))
+    many = each.groupBy("token").agg(F.count("*").alias("c"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+    return many.select("token", F.when(F.col("low") == F.col("high"), 0).otherwise(F.ceil(F.col("c") / part_rows)).cast("int").alias("parts"))
+
+
+def prefix_pairs(reps: DataFrame, common: DataFrame) -> DataFrame:
+    """Representatives (rep, grp, n, prefix) of different groups that share a prefix token under order R.
 
     Of two sets of n <= m tokens, the needed overlap is ``ceil(4 (n + m) / 9)``;
     a match at positions i, j can be the pair's first match only if so many
     tokens can still be shared, which every link's first match fulfils.
 
-    A token that may be common is counted first.  It is left out if only one
-    group has it, and joined in parts of about ``part_rows`` prefixes: each
-    part with itself and with each other part.
+    A token in ``common`` (token, parts) is left out if only one group has it,
+    and joined in parts otherwise: each part with itself and with each other.
     """
-    each = reps.select("rep", "grp", "n", "n_cold", F.posexplode("prefix").alias("pos", "token"))
-
-    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
-        x, y = (rows.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("rep", "grp", "n", "pos"))) for end in "ab")
-        left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-        near = (F.col("rep_a") < F.col("rep_b")) & (F.col("grp_a") != F.col("grp_b"))
-        near &= (F.col("n_a") * 5 >= F.col("n_b") * 4) & (F.col("n_b") * 5 >= F.col("n_a") * 4)
-        near &= left * 9 >= (F.col("n_a") + F.col("n_b")) * 4
-        return x.join(y, keys).where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-
-    common = each.where("pos >= n_cold")
-    many = common.groupBy("token").agg(F.count("*").alias("c"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("c > 1 and low <> high")
-    parts = many.select("token", F.ceil(F.col("c") / part_rows).cast("int").alias("parts"))
+    each = reps.select("rep", "grp", "n", F.posexplode("prefix").alias("pos", "token"))
+    rows = each.join(common, "token", "left").where("parts is null or parts > 0")
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    dealt = common.join(parts, "token").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    return joined(each.where("pos < n_cold"), ["token"]).unionByName(joined(dealt, ["token", "i", "j"])).distinct()
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    split = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("parts") > 1, split).otherwise(alone)))
+    keys = ["token", "i", "j"]
+    # a group of one is its representative; size and place travel as one number
+    rows = rows.select("token", "part.*", "rep", F.when(F.col("grp") != F.col("rep"), F.col("grp")).alias("grp"), (F.shiftleft("n", 32) + F.col("pos")).alias("np"))
+    x, y = (rows.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("rep", "grp", "np"))) for end in "ab")
+    both = x.join(y, keys).where(F.col("rep_a") < F.col("rep_b")).where(F.coalesce("grp_a", "rep_a") != F.coalesce("grp_b", "rep_b"))
+    n_a, n_b = (F.shiftright(f"np_{end}", 32) for end in "ab")
+    pos_a, pos_b = (F.col(f"np_{end}").bitwiseAND(0xFFFFFFFF) for end in "ab")
+    near = (n_a * 5 >= n_b * 4) & (n_b * 5 >= n_a * 4) & (F.least(n_a - pos_a, n_b - pos_b) * 9 >= (n_a + n_b) * 4)
+    return both.where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -274,9 +281,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     star_links = checkpointed(verify(docs, rows, checkpointed(star_pairs(reps("stars")))))
     groups = components(star_links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    grouped = reps("n_shingles", "prefix", "n_cold").withColumnRenamed("n_shingles", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    grouped = grouped.withColumn("grp", F.coalesce("component", "rep")).drop("component")
-    links = verify(docs, rows, checkpointed(prefix_pairs(grouped)))
+    # groups go by the key of the set, as which the prefixes are grouped already
+    grp = first.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("grp"))
+    grouped = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")).join(grp, "set_key")
+    common = checkpointed(common_tokens(known, grp))
+    if common.count() <= BROADCAST_TOKENS:
+        common = F.broadcast(common)
+    links = verify(docs, rows, checkpointed(prefix_pairs(grouped, common)))
     edges = links.unionByName(star_links)
     found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = first.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

@@ -39,7 +39,7 @@ def components(texts):
 @pytest.mark.parametrize("hot, part", [(4096, 2048), (8, 5)])
 def test_many_documents_share_a_passage(spark, monkeypatch, hot, part):
     monkeypatch.setattr(jaccard, "HOT_COUNT", hot)
-    monkeypatch.setattr(jaccard.prefix_pairs, "__defaults__", (part,))
+    monkeypatch.setattr(jaccard.common_tokens, "__defaults__", (part,))
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(400)]
     passage = " ".join(r.choice(vocab) for _ in range(40))
