@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import chunks, evidence, packs, paths, relational, retrieval, sessions, text, upkeep  # noqa: E402,F401  (they register their queries)
+from . import chunks, evidence, files, packs, paths, project, relational, retrieval, sessions, stores, text, upkeep  # noqa: E402,F401  (they register their queries)
