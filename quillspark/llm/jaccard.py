@@ -23,10 +23,10 @@ passed all orders, of the stars and of the join.
 
 Sets equal as a whole form a class first, and only its representative joins,
 so copies are never expanded into pairs.  Near copies are contracted before
-the join, too: representatives whose first tokens under two of three random
-orders agree are compared with leaders of their group (a star of two levels,
-not all pairs); the exact join then looks only at pairs that are not yet in
-one component.  A token that more than PART_ROWS prefixes share is joined in
+the join, too: representatives that share the first token under one of three
+random orders are compared with one leader of that group (a star, not all
+pairs; the leader is looked up by parts of the group); the exact join then
+looks only at pairs that are not yet in one component.  A token that more than PART_ROWS prefixes share is joined in
 parts, so that no task holds all of them.  Every kept candidate is verified
 with the exact 64-bit shingle sets.
 
@@ -132,7 +132,7 @@ SUMMARY = "doc_id long, n_shingles long, set_key binary, stars array<long>, pref
 
 
 def summaries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), stars (keys of the stars), prefix (order R; of ``n_cold`` tokens not too common), b, c (prefixes under these orders)."""
+    """doc_id, n_shingles, set_key (equal for equal sets), stars (first token under each star order), prefix (order R; of ``n_cold`` tokens not too common), b, c (prefixes under these orders)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
 
     def each(batches):
@@ -145,8 +145,7 @@ def summaries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     for k, c in enumerate(columns):
                         c.append(None if k else 0)
                     continue
-                low = [tc.mix(u ^ np.uint64(s)).min() for s in STAR_SEEDS]
-                stars = tc.mix(np.array([low[0] * np.uint64(3) + low[1], low[1] * np.uint64(3) + low[2], low[2] * np.uint64(3) + low[0]], np.uint64))
+                stars = np.array([tc.mix(u ^ np.uint64(s)).min() for s in STAR_SEEDS])
                 prefix = _order_r(u, cells)[: prefix_length(n)]
                 cold = int((cells[(prefix >> np.uint64(64 - CELL_BITS)).astype(np.int64)] < HOT_COUNT).sum())  # the common ones stand last
                 key = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
@@ -225,13 +224,12 @@ def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def star_pairs(reps: DataFrame) -> DataFrame:
-    """Representatives (rep, stars) with the same key, each with the smallest of its part of the group, and these with the smallest of all."""
+    """Representatives (rep, stars) with the same first token under a star order, each with the smallest of its group, which parts of the group look up."""
     each = reps.select("rep", F.pmod(F.xxhash64("rep"), F.lit(STAR_PARTS)).alias("part"), F.posexplode("stars").alias("k", "token"))
-    leads = each.groupBy("k", "token", "part").agg(F.min("rep").alias("a"), F.count("*").alias("c"))
-    top = leads.groupBy("k", "token").agg(F.min("a").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    inner = each.join(leads.where("c > 1"), ["k", "token", "part"]).where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
-    outer = leads.join(top, ["k", "token"]).where(F.col("a") > F.col("top")).select(F.col("top").alias("a"), F.col("a").alias("b"))
-    return inner.unionByName(outer).distinct()
+    parts = each.groupBy("k", "token", "part").agg(F.min("rep").alias("low"), F.count("*").alias("c"))
+    group = Window.partitionBy("k", "token")  # at most STAR_PARTS rows
+    lead = parts.withColumns({"a": F.min("low").over(group), "c": F.sum("c").over(group)}).where("c > 1").select("k", "token", "part", "a")
+    return each.join(lead, ["k", "token", "part"]).where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b")).distinct()
 
 
 def common_tokens(known: DataFrame, grp: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
