@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -14,12 +15,19 @@ from .text import TOKEN
 DIMENSIONS = 128
 
 
+@functools.lru_cache(1 << 16)  # a batch says the same words again and again
+def _place(token: str) -> tuple[int, float]:
+    """The first four bytes of an 8-byte blake2b digest, and a sign by the parity of the fifth."""
+    h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "big"), 1.0 if h[4] % 2 == 0 else -1.0
+
+
 def hash_vector(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
-    """Bucket by the first four bytes of an 8-byte blake2b digest, sign by the parity of the fifth; unit length."""
+    """Signed counts of the text's tokens by their bucket; unit length."""
     out = np.zeros(dimensions)
     for t in re.findall(TOKEN, text or ""):
-        h = hashlib.blake2b(t.lower().encode(), digest_size=8).digest()
-        out[int.from_bytes(h[:4], "big") % dimensions] += 1.0 if h[4] % 2 == 0 else -1.0
+        at, sign = _place(t.lower())
+        out[at % dimensions] += sign
     n = np.linalg.norm(out)
     return (out / n if n else out).tolist()
 

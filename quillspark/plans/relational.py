@@ -292,23 +292,39 @@ def r09_components(spark, d):
 PARTS, ORDERS, CUSTOMERS = 10**12, 2 * 10**12, 3 * 10**12
 
 
-@query(None)
+@query(f"""with recursive h as materialized (select distinct l_suppkey as a, l_partkey + {PARTS} as b from lineitem), e as materialized (select a, b from h union select b, a from h),
+s as (select cast(1 as bigint) as node, cast(0 as bigint) as dist union select e.b, dist + 1 from s join e on e.a = s.node where dist < 6) select node, min(dist) as dist from s group by node""")
 def r03_r04_all_distances(spark, d):
-    """Steps from supplier 1, up to 6, over the undirected supplier-part edges of all of lineitem; tested against a plain search."""
+    """Steps from supplier 1, up to 6, over the undirected supplier-part edges of all of lineitem."""
     e = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PARTS).alias("dst"))
     return graph.distances(relational.undirected(e), spark.range(1, 2).select(F.col("id").alias("node")), 6)
 
 
-@query(None)
+def _least_sql(rounds: int) -> str:
+    """Least labels spread along the edges, a table a round, each followed by a jump to the label's label."""
+    steps = "".join(
+        f""",
+m{k + 1} as materialized (select l.node, least(any_value(l.label), min(n.label)) as label from l{k} l join e on a = l.node join l{k} n on n.node = b group by l.node),
+l{k + 1} as materialized (select m.node, j.label from m{k + 1} m join m{k + 1} j on j.node = m.label)"""
+        for k in range(rounds)
+    )
+    return f"""with h as materialized (select distinct l_orderkey as a, l_partkey + {PARTS} as b from lineitem), e as materialized (select a, b from h union select b, a from h),
+l0 as materialized (select distinct a as node, a as label from e){steps} select node, label as component from l{rounds}"""
+
+
+@query(_least_sql(12))
 def r09_all_components(spark, d):
-    """Components over the order-part edges of all of lineitem; tested against a plain search."""
+    """Components over the order-part edges of all of lineitem."""
     e = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + PARTS).alias("dst"))
     return graph.components(e)
 
 
-@query(None)
+@query(f"""with e as materialized (select distinct src, dst from (select l_partkey + {PARTS} as src, l_suppkey as dst from lineitem union all select l_orderkey + {ORDERS}, l_partkey + {PARTS} from lineitem
+  union all select o_custkey + {CUSTOMERS}, o_orderkey + {ORDERS} from orders) where src <> dst),
+b as materialized (select distinct x.src, y.dst from e x join e y on x.dst = y.src), c as materialized (select distinct x.src, b.dst from e x join b on x.dst = b.src)
+select dst as node, count(*) as reached from (select src, dst from e union select src, dst from b union select src, dst from c) where src <> dst group by dst""")
 def r13_all_blast_radius(spark, d):
-    """What depends on each supplier, part and order in up to 3 inbound steps: customers on orders, orders on parts, parts on suppliers; tested against a plain search."""
+    """What depends on each supplier, part and order in up to 3 inbound steps: customers on orders, orders on parts, parts on suppliers."""
     li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     e = li.select((F.col("l_partkey") + PARTS).alias("src"), F.col("l_suppkey").alias("dst"))
     e = e.unionByName(li.select((F.col("l_orderkey") + ORDERS).alias("src"), (F.col("l_partkey") + PARTS).alias("dst")))

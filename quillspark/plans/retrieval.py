@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import lexical, packing, relational, vector
 from ..sources.tables import load
 from .registry import query
-from .text import TOK
+from .text import SQUEEZE, TOK
 
 BM25 = f"""
 docs as (select doc_id, {TOK} as t from documents), st as (select count(*) as n, avg(len(t)) as avgdl from docs),
@@ -130,7 +130,11 @@ def j08_similar_clusters(spark, d):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cos, 4).alias("similarity"))
 
 
-@query(None)
+@query(f"""with recursive t as (select conv_id, turn, cast(greatest(1, floor(length({SQUEEZE}) / 4), ceil(round(len(regexp_extract_all({SQUEEZE}, '[A-Za-z0-9]+|[^ A-Za-z0-9]')) * 1.15, 6))) as bigint) as tokens from conversations),
+p as materialized (select *, row_number() over (partition by conv_id order by tokens desc, turn) as place from t),
+s as (select conv_id, place, case when tokens <= 400 then tokens else 0 end as used, tokens <= 400 as taken from p where place = 1
+  union all select p.conv_id, p.place, case when used + tokens <= 400 then used + tokens else used end, used + tokens <= 400 from s join p on p.conv_id = s.conv_id and p.place = s.place + 1)
+select conv_id, turn, tokens, taken from p join s using (conv_id, place)""")
 def w14_budget_pack(spark, d):
     """Turns of each conversation packed, longest first, into 400 tokens; skips what does not fit."""
     rows = load(spark, d, "conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("tokens"))
