@@ -144,10 +144,13 @@ def _logs(texts: list[str], logp: np.ndarray) -> np.ndarray:
     """Log probability of each text in each language (languages x texts)."""
     cells, bounds = _cells(texts)
     logs = np.zeros((len(logp), len(texts)))
-    for c in cells:
-        stop = np.minimum(bounds[:-1], len(c) - 1)
+    for order, c in zip(ORDERS, cells):
+        start = np.minimum(bounds[:-1], len(c) - 1)
+        across = (bounds[1:-1, None] - np.arange(1, order)).ravel()  # these reach into the next text
         for j in range(len(logp)):
-            logs[j] += np.add.reduceat(logp[j][c].astype(np.float64), stop)
+            each = logp[j][c].astype(np.float64)
+            each[across] = 0.0
+            logs[j] += np.add.reduceat(each, start)
     return logs
 
 
