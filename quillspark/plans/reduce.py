@@ -11,7 +11,8 @@ from ..operators import relational, vector
 from ..sources.tables import load
 from .packs import QUESTIONS, STOP
 from .paths import EDGES, _handovers
-from .registry import query
+from .evidence import x40_response_grounding
+from .registry import ORACLES, query
 from .retrieval import CEN, VEC, _vectors
 from .text import SQUEEZE
 
@@ -120,3 +121,65 @@ def r01_graph_build(spark, d):
     e = edges("orders", "customer", "o_custkey", "order", "o_orderkey", "placed").unionByName(edges("lineitem", "order", "l_orderkey", "part", "l_partkey", "contains"))
     e = e.unionByName(edges("lineitem", "part", "l_partkey", "supplier", "l_suppkey", "supplied_by")).unionByName(edges("customer", "customer", "c_custkey", "nation", "c_nationkey", "lives_in"))
     return e.distinct().withColumn("edge_id", F.sha2(F.concat_ws("|", "src", "kind", "dst").cast("binary"), 256))
+
+
+#: Labels asked for in order, and what a place, a word, a kind and use add to a candidate's score; candidates kept.
+LABELS, FIRST, STEP, WORD, KIND, USES, CANDIDATES = ("steel ring", "blue anvil", "red widget"), 240, 18, 24, 6, 10, 50
+
+
+@query(f"""with w as (select word, count(*) as n from (select unnest(string_split(p_name, ' ')) as word from part) where word in ({", ".join(f"'{w}'" for x in LABELS for w in x.split())}) group by word order by n, word limit 2),
+u as (select l_partkey, count(*) as uses from lineitem group by 1),
+s as (select p_partkey, p_name, coalesce({FIRST} - {STEP} * (list_position({list(LABELS)}, p_name) - 1), 0) + {WORD} * len(list_filter(string_split(p_name, ' '), lambda x: list_contains(rare, x)))
+  + case when p_type = 'ECONOMY' then {KIND} else 0 end + least({USES}, coalesce(uses, 0)) as score from part left join u on l_partkey = p_partkey, (select list(word) as rare from w))
+select p_partkey, p_name, cast(score as bigint) as score, row_number() over (order by score desc, p_partkey) as place from s qualify place <= {CANDIDATES}""")
+def r12_flow_candidates(spark, d):
+    """Parts where a flow may begin: by their label's place among those asked for, the two rarest words, kind and use."""
+    p = load(spark, d, "part").select("p_partkey", "p_name", "p_type", F.split("p_name", " ").alias("words"))
+    asked = sorted({w for x in LABELS for w in x.split()})
+    rare = p.select(F.explode("words").alias("word")).where(F.col("word").isin(asked)).groupBy("word").count().orderBy("count", "word").limit(2)
+    rare = rare.agg(F.collect_list("word").alias("rare"))  # two words
+    uses = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("uses"))
+    at = F.array_position(F.array(*map(F.lit, LABELS)), F.col("p_name"))
+    s = p.crossJoin(F.broadcast(rare)).join(uses, "p_partkey", "left")
+    score = F.when(at > 0, FIRST - STEP * (at - 1)).otherwise(0) + WORD * F.size(F.filter("words", lambda w: F.array_contains("rare", w))) + F.when(F.col("p_type") == "ECONOMY", KIND).otherwise(0) + F.least(F.lit(USES), F.coalesce("uses", F.lit(0)))
+    top = s.select("p_partkey", "p_name", score.cast("long").alias("score")).orderBy(F.desc("score"), "p_partkey").limit(CANDIDATES)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "p_partkey")).cast("long"))
+
+
+#: Ledger rows that are read for a question; with more the result is not used.
+LEDGER_ROWS = 12
+
+
+@query(f"""with o as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r, count(*) over (partition by o_custkey) as n from orders)
+select o_custkey as question_id, n as rows, n > {LEDGER_ROWS} as truncated, case when n <= {LEDGER_ROWS} then cast(count(*) filter (o_orderstatus = 'F') as bigint) end as answer,
+  case when n > {LEDGER_ROWS} then 'normal_path' when count(*) filter (o_orderstatus = 'F') = 0 then 'no_evidence' else 'typed_evidence' end as route from o where r <= {LEDGER_ROWS} group by o_custkey, n""")
+def m13_runtime_evidence(spark, d):
+    """How many finished orders a bounded read of the ledger finds, and whether that read is whole and so used."""
+    w = Window.partitionBy("o_custkey")
+    o = load(spark, d, "orders").select("o_custkey", "o_orderstatus", F.row_number().over(w.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))).alias("r"), F.count("*").over(w).alias("rows")).where(f"r <= {LEDGER_ROWS}")
+    g = o.groupBy(F.col("o_custkey").alias("question_id"), "rows").agg(F.count_if(F.col("o_orderstatus") == "F").alias("found"))
+    cut = F.col("rows") > LEDGER_ROWS
+    route = F.when(cut, "normal_path").when(F.col("found") == 0, "no_evidence").otherwise("typed_evidence")
+    return g.select("question_id", "rows", cut.alias("truncated"), F.when(~cut, F.col("found")).alias("answer"), route.alias("route"))
+
+
+OF_SOURCE, ATTACHED = 3, 24
+
+
+@query(f"""with k as (select doc_id, source, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as nth from documents where lang = 'en')
+select doc_id, source, nth, row_number() over (order by nth > 1, n_chars desc, doc_id) as place from k where nth <= {OF_SOURCE} qualify place <= {ATTACHED}""")
+def m20_attachments(spark, d):
+    """English documents to attach: up to three of a source, the longest of every source before any second one."""
+    k = relational.top_per_key(load(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], OF_SOURCE, "nth")
+    order = [F.col("nth") > 1, F.desc("n_chars"), F.col("doc_id")]
+    top = k.orderBy(*order).limit(ATTACHED)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("doc_id", "source", "nth", "place")
+
+
+@query(f"""with x as ({ORACLES["x40_response_grounding"]}), c as (select conv_id, count(*) as replies, count(*) filter (quality = 'grounded') as grounded, count(*) filter (quality = 'ungrounded') as ungrounded from x group by conv_id)
+select conv_id, replies, round(grounded / replies, 4) as share, case when grounded = replies then 'accepted' when ungrounded * 2 > replies then 'rejected' else 'needs_review' end as state from c""")
+def m22_response_review(spark, d):
+    """What becomes of a conversation's replies by how well they are grounded."""
+    c = x40_response_grounding(spark, d).groupBy("conv_id").agg(F.count("*").alias("replies"), F.count_if(F.col("quality") == "grounded").alias("g"), F.count_if(F.col("quality") == "ungrounded").alias("u"))
+    state = F.when(F.col("g") == F.col("replies"), "accepted").when(F.col("u") * 2 > F.col("replies"), "rejected").otherwise("needs_review")
+    return c.select("conv_id", "replies", F.round(F.col("g") / F.col("replies"), 4).alias("share"), state.alias("state"))
