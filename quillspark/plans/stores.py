@@ -8,9 +8,8 @@ from ..functions import text as T
 from ..operators import lexical, relational, stores
 from ..session import shared_folder
 from ..sources.tables import load
-from .registry import query
-from .retrieval import VEC, g30_topk_overlap
-from .registry import ORACLES
+from .registry import ORACLES, query
+from .retrieval import g30_topk_overlap
 from .text import KEY
 
 SNAPSHOTS = """a as (select l_partkey as k, count(*) || ':' || cast(sum(l_quantity) as bigint) as m from lineitem where l_shipdate < timestamp '1995-06-01' group by 1),
