@@ -8,6 +8,7 @@ from ..functions import claims as C
 from ..functions import text as T
 from ..sources.formats import markdown_sections
 from ..sources.tables import load
+from ..streaming import windows
 from .registry import query
 
 #: (text, sensitive categories, hostile, harm, blocked) by the remainder of a row's key.
@@ -99,3 +100,17 @@ def j05_customers_without(spark, d):
     """Customers with no urgent order in progress."""
     some = load(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return load(spark, d, "customer").select("c_custkey").join(some, "c_custkey", "left_anti")
+
+
+SPAN, ALLOWED = 24 * 3600, 3
+
+
+@query(f"""with recursive e as materialized (select user_id, event_id, ts, octet_length(encode(props)) as bytes, row_number() over (partition by user_id order by ts, event_id) as i from events),
+s as (select user_id, event_id, i, ts as start, cast(1 as bigint) as n, cast(bytes as bigint) as used from e where i = 1
+  union all select e.user_id, e.event_id, e.i, case when e.ts >= start + interval {SPAN} second then e.ts else start end, case when e.ts >= start + interval {SPAN} second then 1 else n + 1 end,
+    case when e.ts >= start + interval {SPAN} second then 0 else used end + bytes from s join e on e.user_id = s.user_id and e.i = s.i + 1)
+select user_id, event_id, strftime(start, '%Y-%m-%d %H:%M:%S') as start, n, used, n <= {ALLOWED} as allowed from s""")
+def t02_first_hit_windows(spark, d):
+    """Events of each user in windows of a day from the first event on, with the bytes sent so far."""
+    e = load(spark, d, "events").select("user_id", "event_id", "ts", F.octet_length("props").alias("bytes"))
+    return windows.first_hit_windows(e, SPAN, ALLOWED).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

@@ -152,3 +152,21 @@ def test_stores(spark):
     r = spark.createDataFrame([("a", 1, 10.0), ("a", 3, 20.0), ("b", 2, 5.0)], "k string, s int, v double")
     g = spark.createDataFrame([("a", 2.0), ("a", 0.5), ("a", 9.0), ("a", 3.0), ("b", 7.0)], "k string, guess double")
     assert {tuple(x) for x in stores.interpolated(r, g, "k", "s", "v").collect()} == {("a", 2.0, 15.0), ("a", 0.5, 10.0), ("a", 9.0, 20.0), ("a", 3.0, 20.0), ("b", 7.0, 5.0)}
+
+
+def test_windows_begin_at_the_first_hit(spark):
+    from quillspark.streaming import windows
+
+    seconds = {1: [0, 5, 9, 10, 19, 20, 45], 2: [3, 12, 13]}
+    rows = [(u, 100 * u + i, f"2024-01-01 00:00:{s:02}", 2 if s % 2 else None) for u, v in seconds.items() for i, s in enumerate(v)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts string, bytes int").withColumn("ts", F.to_timestamp_ntz("ts")).repartition(3)
+    got = {(r.event_id): (r.start.second, r.n, r.used, r.allowed) for r in windows.first_hit_windows(df, 10, 2).collect()}
+    want = {}
+    for u, v in seconds.items():
+        start = None
+        for i, s in enumerate(v):
+            if start is None or s >= start + 10:
+                start, n, used = s, 0, 0
+            n, used = n + 1, used + (2 if s % 2 else 0)
+            want[100 * u + i] = (start, n, used, n <= 2)
+    assert got == want
