@@ -54,7 +54,7 @@ def f06_f12_f13_marked(spark, d):
     rows = load(spark, d, "orders").select("o_orderkey", F.expr(f"{_pick(GATED, 0, 'o_orderkey')} || ' ' || lower(o_orderpriority)").alias("text"))
     harm = C.first_label(F.col("text"), C.HARMS, "none")
     blocked = F.lower("text").rlike(C.PROCEDURE) & (harm != "none")
-    return rows.select("o_orderkey", F.array_join(C.sensitive_categories(F.col("text")), ",").alias("categories"), C.hostile(F.col("text")).alias("hostile"), harm.alias("harm"), blocked.alias("blocked"))
+    return rows.select("o_orderkey", F.array_join(C.sensitive_categories(F.col("text")), ",").alias("categories"), C.steering(F.col("text")).alias("hostile"), harm.alias("harm"), blocked.alias("blocked"))
 
 
 @query(f"select o_orderkey, {_pick(ASKED, 1, 'o_orderkey')} as route, {_pick(ASKED, 2, 'o_orderkey')} as operation from orders")
