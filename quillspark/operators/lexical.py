@@ -57,6 +57,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 4) -> Da
         weights = F.broadcast(weights)
     one = F.col("idf") * F.col("tf") * (K1 + 1) / norm
     raw = found.join(weights, "term").groupBy("item_id", "doc_id").agg(F.sum(one * F.col("qtf")).alias("raw"))
+    raw = raw.repartition("item_id", "doc_id")  # an exchange that both uses below read: the sums are made once
     best = raw.groupBy("item_id").agg(F.max("raw").alias("top"))
     scored = raw.join(F.broadcast(best) if weights_fit else best, "item_id").select("item_id", "doc_id", F.round(F.col("raw") / F.col("top"), digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
