@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, html, jaccard, langid, linededup, mixing, quality, sharding
+from . import bestfit, chat, decontam, fingerprint, hardneg, html, jaccard, langid, linededup, merkle, mixing, quality, sharding
 from .common import table
 
 
@@ -64,11 +64,92 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(planted)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_fingerprint, op3_html, op4_quality, op5_decontaminate, op6_language, op7_jaccard, op8_shard, op9_linededup, op10_chat)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = merkle.manifest(docs, tampered={"text": merkle.lower_cased(F.col("doc_id"), F.col("text"))})
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = bestfit.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix, op2_fingerprint, op3_html, op4_quality, op5_decontaminate, op6_language, op7_jaccard, op8_shard, op9_linededup, op10_chat,
+        op11_manifest, op12_pack, op13_negatives,
+    )
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Levels of the SQL's trees: enough for 8 ** 7 rows of a language.
+_LEVELS = 7
+
+
+def _manifest_sql() -> str:
+    """The tree level by level, each leaf's run at each level, and the CRC-32 bit by bit."""
+
+    def said(c: str) -> str:
+        return f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')"
+
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf, other = (" || ".join([*map(said, ("doc_id", "source", "lang", "n_chars")), said(t)]) for t in ("text", small))
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda r, j: xor(r >> 1, (r & 1) * 3988292384))"
+    code = f"list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)), lambda c, b: {bits})"
+    sql = [
+        f"d as (select doc_id, coalesce('1' || lang, '0') as grp, sha256({leaf}) as leaf, case when xor({code}, 4294967295::bigint) % 3 = 0 then sha256({other}) else sha256({leaf}) end as start from documents)",
+        "a0 as (select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as i from d)",
+        "n0 as (select grp, i, leaf as h, count(*) over (partition by grp) as n from a0)",
+    ]
+
+    def grown(nodes: str, k: int) -> str:
+        return f"{nodes}{k + 1} as (select grp, i // 8 as i, case when max(n) = 1 then min(h) else sha256(string_agg(h, '' order by i)) end as h, (max(n) + 7) // 8 as n from {nodes}{k} group by grp, i // 8)"
+
+    sql += [grown("n", k) for k in range(_LEVELS)]
+    sql += [f"top as (select grp as member, h as subroot, row_number() over (order by grp) - 1 as i from n{_LEVELS})", "m0 as (select '' as grp, i, subroot as h, count(*) over () as n from top)"]
+    sql += [grown("m", k) for k in range(_LEVELS)]
+
+    def folded(rows: str, nodes: str, k: int, keep: str) -> str:
+        """A row's digest and siblings one level up."""
+        run = f"select r.*, s.i = r.i as own, s.h as sh, s.i as si, s.n as sn from {rows}{k} r join {nodes}{k} s on s.grp = r.grp and s.i // 8 = r.i // 8"
+        return (
+            f"{rows}{k + 1} as (select rid, grp, i // 8 as i, {keep}, case when max(sn) = 1 then max(start) else sha256(string_agg(case when own then start else sh end, '' order by si)) end as start,"
+            f" max(path) || coalesce(string_agg(case when not own then sh end, '' order by si), '') as path from ({run}) group by rid, grp, i, {keep})"
+        )
+
+    sql.append("r0 as (select row_number() over () as rid, grp, i, doc_id, leaf, start, '' as path from a0)")
+    sql += [folded("r", "n", k, "doc_id, leaf") for k in range(_LEVELS)]
+    sql.append(f"q0 as (select rid, '' as grp, top.i, doc_id, leaf, subroot, start, path from r{_LEVELS} r join top on top.member = r.grp)")
+    sql += [folded("q", "m", k, "doc_id, leaf, subroot") for k in range(_LEVELS)]
+    return (
+        "with " + ",\n".join(sql) + f"\nselect doc_id, leaf, subroot, h as root, sha256(path) as proof_sha256, start as folded_root, start = h as verified from q{_LEVELS} cross join (select h from m{_LEVELS})"
+    )
+
+
 ORACLES = {
+    "op11_manifest": _manifest_sql(),
+    "op13_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+           from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as al, b.vec_id as id, b.label as bl, cast(list_dot_product(a.v, b.v) as bigint) as score
+      from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where al = bl qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select p.*, id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank
+      from p join s using (anchor_id) where al <> bl and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+""",
     "op5_decontaminate": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
 b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
