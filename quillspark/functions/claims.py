@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Words of each sensitive category.
 SENSITIVE = {"health": "diagnos|medication|therapy", "finance": "salary|bank account|credit card|iban", "identity": "passport|social security|driver.?s licen[cs]e", "secret": "password|api.?key|private key", "location": "home address|gps"}
-#: Phrases by which evidence tries to steer its reader.
-HOSTILE = ("ignore previous instructions", "ignore all previous", "disregard the above", "you are now", "system prompt", "do not tell the user")
 #: Phrases for which evidence is kept from a reader.
 STEERING = (
     "ignore previous instructions",
@@ -78,11 +76,6 @@ def sensitive_categories(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(k)) for k, p in SENSITIVE.items())))
 
 
-def hostile(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(F.array(*map(F.lit, HOSTILE)), lambda p: F.contains(low, p))
-
-
 def steering(text: Column) -> Column:
     """Whether the text, its white space as single spaces, has a phrase for which it is kept from a reader."""
     low = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))

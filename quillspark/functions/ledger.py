@@ -28,7 +28,10 @@ NUMBER_ROLES = (
     ("cumulative_snapshot", r"\b(so far|in total|total of|altogether|already|now|to date|that's)\b"),
     ("delta", r"\b(another|additional|more|added|extra|increment)\b"),
     ("measurement", r"\b(ounces?|pounds?|kg|kilograms?|miles?|km|percent|%)\b"),
+    ("delta", r"\b(attended|bought|sold|completed|visited|went|made|fixed|assembled|watched|ran|donated|added|received|created)\b"),
 )
+#: How many of these rules the older reading of numbers has, and what a number is that none names, then and now.
+OLDER_ROLES, OLDER_NUMBER, BARE_NUMBER = 3, "cumulative_snapshot", "measurement"
 EVENTS = (
     ("start", r"\b(started|began|left|departed|set out)\b"),
     ("end", r"\b(got back|returned|ended|finished|completed|arrived home)\b"),
@@ -79,9 +82,11 @@ def assertion_mode(text: Column, speaker: Column) -> Column:
     return F.when(speaker == "assistant", "suggested").otherwise(first_of(F.lower(text), MODES, "unknown"))
 
 
-def number_role(text: Column) -> Column:
+def number_role(text: Column, older: bool = False) -> Column:
+    """What a claim's number says; a bare number is no running total, but for the ``older`` reading."""
     low = F.lower(text)
-    return F.when(~low.rlike(HAS_NUMBER), "unknown").otherwise(first_of(low, NUMBER_ROLES, "cumulative_snapshot"))
+    rules, bare = (NUMBER_ROLES[:OLDER_ROLES], OLDER_NUMBER) if older else (NUMBER_ROLES, BARE_NUMBER)
+    return F.when(~low.rlike(HAS_NUMBER), "unknown").otherwise(first_of(low, rules, bare))
 
 
 def event_role(text: Column) -> Column:

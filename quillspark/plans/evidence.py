@@ -23,9 +23,9 @@ def f03_f04_source_filter(spark, d):
     return load(spark, d, "documents").where(F.col("lang").isin("en", "fr") & F.col("n_chars").between(300, 5000) & low.contains("the") & F.col("source").startswith("src1")).select("doc_id", "source", "n_chars")
 
 
-@query("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(lower(coalesce(text, '')), '{p}') then '{k}' end" for k, p in C.SENSITIVE.items()) + "], lambda x: x is not null), ',') as categories, " + " or ".join(f"contains(lower(coalesce(text, '')), '{p}')" for p in C.HOSTILE) + " as hostile from documents")
+@query("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(lower(coalesce(text, '')), '{p}') then '{k}' end" for k, p in C.SENSITIVE.items()) + "], lambda x: x is not null), ',') as categories, " + " or ".join(f"contains(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), '{p}')" for p in C.STEERING) + " as hostile from documents")
 def f06_f12_gates(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.array_join(C.sensitive_categories(F.col("text")), ",").alias("categories"), C.hostile(F.col("text")).alias("hostile"))
+    return load(spark, d, "documents").select("doc_id", F.array_join(C.sensitive_categories(F.col("text")), ",").alias("categories"), C.steering(F.col("text")).alias("hostile"))
 
 
 @query("select conv_id, turn, case " + " ".join(f"when regexp_matches(lower(coalesce(text, '')), '{p}') then '{n}'" for n, p in C.OPERATIONS) + " else 'direct_lookup' end as operation from conversations where role = 'user'")

@@ -49,7 +49,7 @@ k as materialized (select c.*, lower(text) as low, question, kind, operation, as
 e as (select question_id, session, turn, sentence, n, unnest(shared) as term from k),
 x as (select question_id, session, turn, sentence, sum(ln((n + 1) / (df + 1)) + 1) as lexical from (select *, count(*) over (partition by question_id, term) as df from e) group by all),
 l as materialized (select k.* exclude (pairs, asked), len(shared) as overlap, case when speaker = 'assistant' then 'suggested' else {_rule_sql("low", L.MODES, "unknown")} end as mode,
-  case when not regexp_matches(low, '{L.HAS_NUMBER}') then 'unknown' else {_rule_sql("low", L.NUMBER_ROLES, "cumulative_snapshot")} end as number_role, {_rule_sql("low", L.EVENTS, "none")} as event_role,
+  case when not regexp_matches(low, '{L.HAS_NUMBER}') then 'unknown' else {_rule_sql("low", L.NUMBER_ROLES, L.BARE_NUMBER)} end as number_role, {_rule_sql("low", L.EVENTS, "none")} as event_role,
   round(coalesce(lexical, 0) + 1.5 * len(list_filter(list_distinct(pairs), lambda p: contains(low, p)))
     + case when regexp_matches(lower(question), '{L.ASKS_NUMBER}') and regexp_matches(low, '{L.SAYS_NUMBER}') then 1.5 else 0 end
     + case when (contains(kind, 'temporal') or regexp_matches(lower(question), '{L.ASKS_TIME}')) and regexp_matches(low, '{L.SAYS_TIME}') then 1 else 0 end

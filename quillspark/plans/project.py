@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
+from ..functions import statements as S
 from ..functions import text as T
 from ..operators import claims as P
 from ..operators import packing, relational
@@ -118,13 +119,13 @@ SAYING = """case o_orderkey % 6 when 0 then 'I am currently reading ' || lower(o
   when 3 then 'I keep the ' || o_orderstatus || ' box in the hall.' when 4 then 'I own ' || (o_orderkey % 7) || ' boxes right now.' else 'Nothing to say' end"""
 
 
-@query("""select o_orderkey, case o_orderkey % 6 when 0 then 'currently_reading' when 1 then 'currently_uses' when 3 then 'location' else 'current_quantity' end as predicate,
-  case o_orderkey % 6 when 0 then lower(o_orderpriority) || ' notes' when 1 then 'the ' || o_orderstatus || ' desk' when 2 then (o_orderkey % 9) || ' items' when 3 then 'the ' || o_orderstatus || ' box' else (o_orderkey % 7) || ' boxes' end as object,
-  case when o_orderkey % 6 in (0, 1) then 0.92::double else 0.9::double end as confidence from orders where o_orderkey % 6 <> 5""")
+@query("""select o_orderkey, case o_orderkey % 6 when 0 then 'currently_reading' when 1 then 'currently_uses' when 3 then 'currently_stored_at' else 'current_quantity' end as predicate,
+  case o_orderkey % 6 when 0 then lower(o_orderpriority) || ' notes' when 1 then 'the ' || o_orderstatus || ' desk' when 2 then (o_orderkey % 9) || ' items' when 3 then 'the hall' else (o_orderkey % 7) || ' boxes' end as object,
+  case when o_orderkey % 6 in (0, 1, 3) then 0.92::double else 0.9::double end as confidence from orders where o_orderkey % 6 <> 5""")
 def x18_structured_claims(spark, d):
     """What customers say of themselves, as predicate and object."""
-    rows = load(spark, d, "orders").select("o_orderkey", F.explode(D.structured_claims(F.expr(SAYING))).alias("c"))
-    return rows.select("o_orderkey", "c.*")
+    rows = load(spark, d, "orders").select("o_orderkey", F.explode(S.stated_claims(F.expr(SAYING), F.lit("user"))).alias("c"))
+    return rows.select("o_orderkey", "c.predicate", "c.object", "c.confidence")
 
 
 QUOTA = 1

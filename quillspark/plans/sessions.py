@@ -49,10 +49,10 @@ def x23_as_of(spark, d):
 
 
 @query(f"""select conv_id, turn, cast(least({MOST_BUDGET}, greatest({LEAST_BUDGET}, case when length(coalesce(text, '')) > {LONG_PROMPT} then {BUDGET} * 3 // 2 else {BUDGET} end
-  + case when contains(coalesce(text, ''), '?') then {QUESTION_BONUS} else 0 end - case when {" or ".join(f"contains(lower(coalesce(text, '')), '{p}')" for p in C.HOSTILE)} then {BUDGET} // 2 else 0 end)) as bigint) as budget from conversations where role = 'user'""")
+  + case when contains(coalesce(text, ''), '?') then {QUESTION_BONUS} else 0 end - case when {" or ".join(f"contains(regexp_replace(lower(coalesce(text, '')), '[[:space:]]+', ' ', 'g'), '{p}')" for p in C.STEERING)} then {BUDGET} // 2 else 0 end)) as bigint) as budget from conversations where role = 'user'""")
 def x29_context_budget(spark, d):
     text = F.coalesce("text", F.lit(""))
-    size = F.when(F.length(text) > LONG_PROMPT, BUDGET * 3 // 2).otherwise(BUDGET) + F.when(text.contains("?"), QUESTION_BONUS).otherwise(0) - F.when(C.hostile(text), BUDGET // 2).otherwise(0)
+    size = F.when(F.length(text) > LONG_PROMPT, BUDGET * 3 // 2).otherwise(BUDGET) + F.when(text.contains("?"), QUESTION_BONUS).otherwise(0) - F.when(C.steering(text), BUDGET // 2).otherwise(0)
     return load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.least(F.lit(MOST_BUDGET), F.greatest(F.lit(LEAST_BUDGET), size)).cast("long").alias("budget"))
 
 
