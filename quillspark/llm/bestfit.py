@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .tokens import WordIds
+from .tokens import kept_words
 
 CAPACITY = 2048
 #: Pieces of a part, about.
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        words = WordIds(sent.value)
+        words = kept_words(sent.value)
 
         def batch_of(rows: list[tuple], like: pa.DataType) -> pa.RecordBatch:
             cols = list(zip(*rows))
@@ -77,9 +77,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
         for batch in batches:
             ids, texts, out = batch.column("doc_id"), batch.column("text"), []
-            for k in range(batch.num_rows):
+            for k, said in enumerate(words.all_encoded(t.as_py() for t in texts)):
                 doc, start = ids[k].as_py(), 0
-                for n, piece in enumerate(cut(words.encoded(texts[k].as_py()), end_id, capacity)):
+                for n, piece in enumerate(cut(said, end_id, capacity)):
                     out.append((doc, n, start, len(piece) // 4, zlib.crc32(piece), *[piece] * keep_ids))
                     start += len(piece) // 4
                     if len(out) >= (256 if keep_ids else 8192):

@@ -10,7 +10,7 @@ is known, what is left over is at right angles to it, so by Cauchy and Schwarz
 its product with the anchor is at most its length times that of the anchor's
 part off the code: an interval that holds the score for certain.  One code in
 64 dimensions leaves three fifths of a vector's length and rules out little;
-each further code leaves three fifths of that.
+each further code leaves three to four fifths of that.
 
 A row stays a candidate while its interval can still reach the best found so
 far (positives), or the band below a positive (negatives).  The rows that

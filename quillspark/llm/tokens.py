@@ -1,7 +1,7 @@
 """Token ids of whole texts, word by word, with the words of a task encoded once.
 
 A tokenizer that drops white space and never looks across it gives a text's
-ids as those of its words put together.  So each task encodes every word it
+ids as those of its words put together.  So each worker encodes every word it
 meets once, many new words in one call, and joins the kept bytes.  Other
 tokenizers (told apart by probing) get whole texts.
 
@@ -10,16 +10,19 @@ Ids travel as little-endian unsigned 32-bit numbers in bytes objects.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import string
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Characters of a text that are worked on at once; a word that is longer stays whole.
 WINDOW = 1 << 20
-#: Words kept by a task; beyond that it starts anew.
-KEPT = 400_000
+#: Words kept by a worker, and parts of words; beyond that it starts anew.
+KEPT, KEPT_PARTS = 700_000, 700_000
 #: Words of a line that is encoded in one call.
 LINE = 500
 #: Marks that are cut from a word's ends. The apostrophe stays: tokenizers join it with what follows.
@@ -38,6 +41,15 @@ def by_words(tokenizer) -> bool:
     return all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a, b in probes for gap in (" ", "\n", " \t ", "　")) and ids(" a ") == ids("a")
 
 
+def kept_words(tokenizer_json: str) -> WordIds:
+    """The worker's words of this tokenizer: a Python process that Spark gives another task still has them."""
+    place = sys.modules.setdefault("quillspark_kept_words", types.ModuleType("quillspark_kept_words")).__dict__
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if key not in place:
+        place[key] = WordIds(tokenizer_json)
+    return place[key]
+
+
 class WordIds:
     """The ids of texts by one tokenizer, given as its JSON text."""
 
@@ -71,29 +83,39 @@ class WordIds:
             else:
                 self.parts |= {word: x.tobytes() for word, x in zip(line, self._encode(line))}
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[str], special: bool) -> None:
+        """Words of letters between marks are put together from their parts; others are encoded whole."""
         if len(self.words) + len(new) > KEPT:
             self.words.clear()
+        if len(self.parts) > KEPT_PARTS:
             self.parts.clear()
-        odd, cut, wanted = [], [], set()
+        parts, words, lower = self.parts, self.words, self.lower
+        odd, cut, wanted, marks = [], [], set(), set()
         for word in new:
-            core = word if word.isalpha() else word.strip(MARKS)
-            if not core.isalpha() or (len(core) != len(word) and any(s in word for s in self.special)):
-                odd.append(word)
-                continue
-            at = word.index(core)
-            key = core.lower() if core.isascii() and self.lower else core
-            piece = (word[:at], key, word[at + len(core) :])
-            cut.append((word, piece))
-            wanted.update(piece)
-        wanted = [p for p in wanted if p and p not in self.parts]
-        self._learn_parts([p for p in wanted if p.isalpha()])
-        rest = [p for p in wanted if not p.isalpha()]
-        self.parts |= {p: x.tobytes() for p, x in zip(rest, self._encode(rest))}
-        self.words |= {w: x.tobytes() for w, x in zip(odd, self._encode(odd))}
-        self.parts[""] = b""
-        for word, (a, b, c) in cut:
-            self.words[word] = self.parts[a] + self.parts[b] + self.parts[c]
+            if word.isalpha():
+                a = c = ""
+                core = word
+            else:
+                core = word.strip(MARKS)
+                if not core.isalpha() or (special and any(s in word for s in self.special)):
+                    odd.append(word)
+                    continue
+                a, _, c = word.partition(core)
+                if a and a not in parts:
+                    marks.add(a)
+                if c and c not in parts:
+                    marks.add(c)
+            if lower and core.isascii():
+                core = core.lower()
+            if core not in parts:
+                wanted.add(core)
+            cut.append((word, a, core, c))
+        self._learn_parts(list(wanted))
+        for texts, into in ((list(marks), parts), (odd, words)):
+            into.update((t, x.tobytes()) for t, x in zip(texts, self._encode(texts)))
+        parts[""] = b""
+        for word, a, core, c in cut:
+            words[word] = parts[core] if not (a or c) else parts[a] + parts[core] + parts[c]
 
     @property
     def lower(self) -> bool:
@@ -103,6 +125,18 @@ class WordIds:
             self._lower = a == b
         return self._lower
 
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, the new words of all of them learned at once."""
+        lists = [[w for w in re.split(f"[{SPACE}]+", t) if w] if re.search("[\x1c-\x1f]", t) else t.split() for t in texts]
+        new = set().union(*lists)
+        new.difference_update(self.words.keys() & new)
+        if new:
+            special, before = any(s in t for t in texts for s in self.special), len(self.words)
+            self._learn(new, special)
+            if len(self.words) < before + len(new):  # it started anew
+                self._learn(set().union(*lists) - self.words.keys(), special)
+        return [b"".join(map(self.words.__getitem__, x)) for x in lists]
+
     def encoded(self, text: str) -> Iterator[bytes]:
         """The ids of ``text``, window by window."""
         if not self.local:
@@ -114,15 +148,21 @@ class WordIds:
             if stop < len(text):
                 gap = re.compile(f"[{SPACE}]").search(text, stop)
                 stop = gap.start() if gap else len(text)
-            window = text[at:stop]
-            words = [w for w in re.split(f"[{SPACE}]+", window) if w] if re.search("[\x1c-\x1f]", window) else window.split()
-            new = set(words).difference(self.words)
-            if new:
-                before = len(self.words)
-                self._learn(new)
-                if len(self.words) < before + len(new):  # it started anew
-                    rest = set(words).difference(self.words)
-                    if rest:
-                        self._learn(rest)
-            yield b"".join(map(self.words.__getitem__, words))
+            yield self._joined([text[at:stop]])[0]
             at = stop
+
+    def all_encoded(self, texts: Iterable[str]) -> Iterator[Iterator[bytes]]:
+        """As ``encoded`` for each text, short ones together."""
+        held, size = [], 0
+        for text in texts:
+            if not self.local or len(text) > WINDOW:
+                yield from map(iter, zip(self._joined(held)))
+                held, size = [], 0
+                yield self.encoded(text)
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= WINDOW:
+                yield from map(iter, zip(self._joined(held)))
+                held, size = [], 0
+        yield from map(iter, zip(self._joined(held)))
