@@ -78,7 +78,7 @@ def first_of_each(items: Column, key) -> Column:
 
     def firsts(s: Column) -> Column:
         shifted = F.concat(F.array(F.lit(None).cast("struct<k:string,i:int>")), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
-        marked = F.zip_with(s, shifted, lambda a, b: F.struct(a["i"].alias("i"), (b.isNull() | (a["k"] != b["k"])).alias("new")))
+        marked = F.zip_with(s, shifted, lambda a, b: F.struct(a["i"].alias("i"), (b.isNull() | ~a["k"].eqNullSafe(b["k"])).alias("new")))
         return F.sort_array(F.transform(F.filter(marked, lambda m: m["new"]), lambda m: m["i"]))
 
     places = bound(F.sort_array(keyed), firsts)

@@ -106,6 +106,7 @@ def trimmed(taken: DataFrame, found: DataFrame, budget: int) -> DataFrame:
 
     The estimate adds up over lines: index, session headers, claims.  Claims go
     from the lowest score until the rest fits; a session's best claim stays.
+    The index counts as it was before any claim went.
     """
     labels = F.array_compact(F.array(F.nullif("mode", F.lit("unknown")), F.nullif("number_role", F.lit("unknown")), F.nullif("event_role", F.lit("none"))))
     note = F.when(F.size(labels) > 0, F.concat(F.lit(" {"), F.array_join(labels, ","), F.lit("}"))).otherwise("")
@@ -113,10 +114,10 @@ def trimmed(taken: DataFrame, found: DataFrame, budget: int) -> DataFrame:
     head = F.concat(F.lit("Session "), "session", F.lit(" — "), F.date_format("date", "yyyy-MM-dd"))
     rows = taken.where("taken").withColumn("line", line).withColumn("head", head)
     index = index_lines(rows, found).groupBy("question_id").agg(F.sum(F.length("said") + 1).alias("ic"), F.sum(_pieces(F.col("said"))).alias("ip"))
-    question, session = Window.partitionBy("question_id"), Window.partitionBy("question_id", "session")
-    first = F.row_number().over(session.orderBy("place")) == 1
-    rows = rows.withColumn("chars", F.length("line") + 1 + F.when(first, F.length("head") + 1).otherwise(0)).withColumn("parts", _pieces(F.col("line")) + F.when(first, _pieces(F.col("head"))).otherwise(0))
+    question, headed = Window.partitionBy("question_id"), Window.partitionBy("question_id", "session", "head")
     rows = rows.join(index, "question_id", "left").withColumn("stays", F.col("reason") == "session_coverage")
+    last = F.row_number().over(headed.orderBy(F.desc("stays"), F.desc("score"), "place")) == 1  # a header goes with the last of its claims
+    rows = rows.withColumn("chars", F.length("line") + 1 + F.when(last, F.length("head") + 1).otherwise(0)).withColumn("parts", _pieces(F.col("line")) + F.when(last, _pieces(F.col("head"))).otherwise(0))
     low = question.orderBy("stays", "score", F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     left = lambda name, extra: F.sum(name).over(question) + F.coalesce(extra, F.lit(0)) - F.coalesce(F.sum(name).over(low), F.lit(0))
     whole = _estimate(left("chars", F.col("ic")) - 1, left("parts", F.col("ip")))
@@ -148,7 +149,7 @@ def packets(rows: DataFrame, found: DataFrame) -> DataFrame:
     order = F.struct("date", "session", "turn", "sentence", "head", "line")
     g = kept.groupBy("question_id").agg(F.sort_array(F.collect_list(order)).alias("s"), F.count_distinct("session").alias("sessions"), F.max("packed_tokens").alias("packed_tokens"))  # within the budget
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: x["head"]))
-    lines = F.zip_with("s", before, lambda x, b: F.when(b.isNull() | (b != x["head"]), F.concat(x["head"], F.lit("\n"), x["line"])).otherwise(x["line"]))
+    lines = F.zip_with("s", before, lambda x, b: F.when(b.isNull(), F.concat(x["head"], F.lit("\n"), x["line"])).when(b != x["head"], F.concat(F.lit("\n"), x["head"], F.lit("\n"), x["line"])).otherwise(x["line"]))
     index = index_lines(kept, found).groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "said"))), lambda x: x["said"]), "\n").alias("index"))
-    text = F.concat(F.when(F.col("index").isNotNull(), F.concat("index", F.lit("\n"))).otherwise(""), F.array_join(lines, "\n"))
+    text = F.concat(F.when(F.col("index").isNotNull(), F.concat("index", F.lit("\n\n\n"))).otherwise(""), F.array_join(lines, "\n"))
     return g.join(index, "question_id", "left").select("question_id", text.alias("packet"), F.size("s").cast("long").alias("claims"), "sessions", "packed_tokens")
