@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -15,11 +14,20 @@ from .text import TOKEN
 DIMENSIONS = 128
 
 
-@functools.lru_cache(1 << 16)  # a batch says the same words again and again
-def _place(token: str) -> tuple[int, float]:
+#: Places of tokens that a worker keeps.
+KEPT = 1 << 16
+
+
+def _place(token: str, _kept: dict[str, tuple[int, float]] = {}) -> tuple[int, float]:  # noqa: B006  (a plain dict travels to workers by value)
     """The first four bytes of an 8-byte blake2b digest, and a sign by the parity of the fifth."""
-    h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-    return int.from_bytes(h[:4], "big"), 1.0 if h[4] % 2 == 0 else -1.0
+    out = _kept.get(token)
+    if out is None:  # a batch says the same words again and again
+        h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+        out = int.from_bytes(h[:4], "big"), 1.0 if h[4] % 2 == 0 else -1.0
+        if len(_kept) >= KEPT:
+            _kept.clear()
+        _kept[token] = out
+    return out
 
 
 def hash_vector(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
