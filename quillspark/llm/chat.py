@@ -19,7 +19,6 @@ rendered whole in one task, so it has to fit there.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -35,13 +34,21 @@ CONTROL = (OPEN, MIDDLE, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "
 PROBE = "\ue000"
 #: Turns of which all prefixes are rendered together for a template that declares itself append-only; its longer chats are put together from such chunks and checked.
 CHUNK = 16
+#: Escaped texts that a worker keeps.
+KEPT = 4096
 SPANS = "array<struct<turn:int,role:string,start:int,stop:int,text_start:int,text_stop:int,rewrites:boolean>>"
 
 
-@functools.lru_cache(4096)  # every prefix shows the same texts again
-def escape(text: str) -> str:
-    doubled = text.replace("\\", "\\\\")
-    return re.sub("|".join(map(re.escape, CONTROL)), lambda m: m[0][0] + "\\" + m[0][1:], doubled)
+def escape(text: str, _kept: dict[str, str] = {}) -> str:  # noqa: B006  (a plain dict travels to workers by value)
+    """Control strings of ``text`` made harmless; every prefix shows the same texts again, so ``KEPT`` of them are kept."""
+    out = _kept.get(text)
+    if out is None:
+        doubled = text.replace("\\", "\\\\")
+        out = re.sub("|".join(map(re.escape, CONTROL)), lambda m: m[0][0] + "\\" + m[0][1:], doubled)
+        if len(_kept) >= KEPT:
+            _kept.clear()
+        _kept[text] = out
+    return out
 
 
 def unescape(text: str) -> str:
