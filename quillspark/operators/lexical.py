@@ -32,12 +32,17 @@ def keywords(docs: DataFrame, k: int = 8) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 4) -> DataFrame:
-    """(item_id, doc_id, score, rank): best ``k`` documents of each query.
+    """(item_id, doc_id, score, rank): best ``k`` documents of each query, ties by doc_id; each task sends its best ``k`` of a query."""
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return bm25_scores(docs, queries, digits).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, digits: int = 4) -> DataFrame:
+    """(item_id, doc_id, score) of every document that has a term of the query.
 
     Repeated query terms count repeatedly; scores are divided by the query's
-    best and ordered after rounding, ties by doc_id.  The text is read once and
-    cut down to query terms before anything is shuffled; scores are summed where
-    a document's terms stand, and each task sends its best ``k`` of a query.
+    best and rounded.  The text is read once and cut down to query terms before
+    anything is shuffled; scores are summed where a document's terms stand.
     """
     terms = queries.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     wanted = terms.select("term").distinct().withColumn("found", F.col("term"))
@@ -59,9 +64,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 4) -> Da
     raw = found.join(weights, "term").groupBy("item_id", "doc_id").agg(F.sum(one * F.col("qtf")).alias("raw"))
     raw = raw.repartition("item_id", "doc_id")  # an exchange that both uses below read: the sums are made once
     best = raw.groupBy("item_id").agg(F.max("raw").alias("top"))
-    scored = raw.join(F.broadcast(best) if weights_fit else best, "item_id").select("item_id", "doc_id", F.round(F.col("raw") / F.col("top"), digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return raw.join(F.broadcast(best) if weights_fit else best, "item_id").select("item_id", "doc_id", F.round(F.col("raw") / F.col("top"), digits).alias("score"))
 
 
 def term_profile(docs: DataFrame, key: str, k: int = 32) -> DataFrame:
