@@ -64,6 +64,43 @@ def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
     return seen.groupBy("node").agg(F.count("*").alias("reached"))
 
 
+def bounded_reach(edges: DataFrame, depth: int = 3, limit: int = 160) -> DataFrame:
+    """(node, reached, truncated): as ``blast_radius``, but no node looks at more than ``limit`` others.
+
+    A node keeps the first of those that get to it, by steps and then by id, and
+    stops once it has one more than the limit.  Of a hub's neighbours the first
+    2 limit + 3 are enough: no more than limit + 2 of them are known or the node
+    itself.  So rows grow with the nodes, not with the pairs.
+    """
+    most = limit + 1
+    e = edges.where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("source")).distinct()
+    near = settled(e.withColumn("k", F.row_number().over(by("node", "source"))).where(F.col("k") <= 2 * most + 1))
+    seen = edge = near.where(F.col("k") <= most).select("node", "source")
+    for _ in range(depth - 1):
+        have = seen.groupBy("node").agg(F.count("*").alias("have")).where(F.col("have") < most)
+        far = edge.join(have.select("node"), "node").join(near.select(F.col("node").alias("source"), F.col("source").alias("far")), "source")
+        new = far.where("far <> node").select("node", F.col("far").alias("source")).distinct().join(seen, ["node", "source"], "left_anti").join(have, "node")
+        edge = settled(new.withColumn("k", F.row_number().over(by("node", "source"))).where(F.col("have") + F.col("k") <= most).select("node", "source"))
+        if edge.isEmpty():
+            break
+        seen = settled(seen.unionByName(edge))
+    return seen.groupBy("node").agg(F.least(F.count("*"), F.lit(limit)).alias("reached"), (F.count("*") > limit).alias("truncated"))
+
+
+def reach_estimates(edges: DataFrame, depth: int = 3, lg_k: int = 11) -> DataFrame:
+    """(node, reached): about how many others get to ``node`` in 1 to ``depth`` steps, from sketches that are joined along the edges.
+
+    A node's sketch takes 2 ** ``lg_k`` bytes at most, whatever it stands for, and errs by some 1.04 / 2 ** (lg_k / 2).
+    """
+    e = settled(edges.where("src <> dst").select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    sketch = settled(nodes.groupBy("node").agg(F.hll_sketch_agg(F.col("node").cast("long"), F.lit(lg_k)).alias("s")))
+    for _ in range(depth):
+        along = e.join(sketch.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "s")
+        sketch = settled(along.unionByName(sketch).groupBy("node").agg(F.hll_union_agg("s").alias("s")))
+    return sketch.select("node", (F.hll_sketch_estimate("s") - 1).alias("reached")).where("reached > 0")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that undirected edges reach, by propagated minima and pointer jumps."""
     e = edges.where("src <> dst").select("src", "dst")

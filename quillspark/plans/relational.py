@@ -332,6 +332,33 @@ def r13_all_blast_radius(spark, d):
     return graph.blast_radius(e, 3)
 
 
+_REACH = f"""with e as materialized (select distinct src, dst from (select l_partkey + {PARTS} as src, l_suppkey as dst from lineitem union all select l_orderkey + {ORDERS}, l_partkey + {PARTS} from lineitem
+  union all select o_custkey + {CUSTOMERS}, o_orderkey + {ORDERS} from orders) where src <> dst),
+b as materialized (select distinct x.src, y.dst from e x join e y on x.dst = y.src), c as materialized (select distinct x.src, b.dst from e x join b on x.dst = b.src),
+n as (select dst as node, count(*) as reached from (select src, dst from e union select src, dst from b union select src, dst from c) where src <> dst group by dst)"""
+MOST_REACHED = 160
+
+
+def _dependencies(spark, d):
+    """Customers on orders, orders on parts, parts on suppliers."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    e = li.select((F.col("l_partkey") + PARTS).alias("src"), F.col("l_suppkey").alias("dst"))
+    e = e.unionByName(li.select((F.col("l_orderkey") + ORDERS).alias("src"), (F.col("l_partkey") + PARTS).alias("dst")))
+    return e.unionByName(load(spark, d, "orders").select((F.col("o_custkey") + CUSTOMERS).alias("src"), (F.col("o_orderkey") + ORDERS).alias("dst")))
+
+
+@query(f"{_REACH} select node, least(reached, {MOST_REACHED}) as reached, reached > {MOST_REACHED} as truncated from n")
+def r13_bounded_blast_radius(spark, d):
+    """What depends on each supplier, part and order in up to 3 inbound steps, counted up to a limit."""
+    return graph.bounded_reach(_dependencies(spark, d), 3, MOST_REACHED)
+
+
+@query()
+def r13_reach_estimates(spark, d):
+    """About how many nodes depend on each supplier, part and order in up to 3 inbound steps, without a limit."""
+    return graph.reach_estimates(_dependencies(spark, d), 3)
+
+
 NATION_EDGES = """select distinct src, dst from (select o_orderkey + 10000000 as src, o_custkey + 1000 as dst from orders
   union all select c_custkey + 1000, c_nationkey from customer) where src <> dst"""
 
