@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 #: Vectors of a block on either side of the search.
 BLOCK = 2048
 
@@ -60,6 +62,60 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 4, bl
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
+def _token_blocks(tokens: DataFrame, name: str, block: int) -> DataFrame:
+    """Items with all their vectors, in blocks of up to about ``block`` vectors: ids, vectors of each, matrix."""
+    items = tokens.where("id is not null and v is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s")).select("id", F.col("s.v").alias("vs"))
+
+    def packed(ids: list, sizes: list, rows: list) -> pa.RecordBatch:
+        parts = (np.array(ids, np.int64), np.array(sizes, np.int64), np.array(rows, np.float64))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=[f"{name}_ids", f"{name}_n", f"{name}_m"])
+
+    def pack(batches):
+        for batch in batches:
+            ids, sizes, rows = [], [], []
+            for k in range(batch.num_rows):
+                vs = batch.column("vs")[k].as_py()
+                ids.append(batch.column("id")[k].as_py()), sizes.append(len(vs)), rows.extend(vs)
+                if len(rows) >= block:
+                    yield packed(ids, sizes, rows)
+                    ids, sizes, rows = [], [], []
+            if ids:
+                yield packed(ids, sizes, rows)
+
+    return items.mapInArrow(pack, f"{name}_ids binary, {name}_n binary, {name}_m binary")
+
+
+def late_interaction(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 4, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` items whose vectors answer a query's best; both sides: id, pos, v.
+
+    An item scores, for each vector of the query, its closest vector's dot
+    product, summed up.  A stated query set against all items: a pair of blocks
+    is one matrix product, cut down by maxima over an item's columns and sums
+    over a query's rows, and only what may be among the ``k`` best leaves the task.
+    """
+
+    def search(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for row in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_n", "q_m", "c_ids", "c_n", "c_m"))):
+                qi, qn, ci, cn = (np.frombuffer(row[j], np.int64) for j in (0, 1, 3, 4))
+                q, c = np.frombuffer(row[2], np.float64).reshape(qn.sum(), -1), np.frombuffer(row[5], np.float64).reshape(cn.sum(), -1)
+                best = np.maximum.reduceat(q @ c.T, np.cumsum(cn) - cn, axis=1)
+                s = np.round(np.add.reduceat(best, np.cumsum(qn) - qn, axis=0), digits + 4)
+                s[qi[:, None] == ci[None, :]] = -np.inf
+                kk = min(k, len(ci))
+                edge = np.partition(s, len(ci) - kk, axis=1)[:, len(ci) - kk]
+                a, b = np.nonzero((np.round(s, digits) >= np.round(edge, digits)[:, None]) & (s > -np.inf))
+                out[0].append(qi[a]), out[1].append(ci[b]), out[2].append(s[a, b])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "id", "s"])
+
+    pairs = _token_blocks(queries, "q", block).crossJoin(settled(_token_blocks(corpus, "c", block)))
+    found = pairs.mapInArrow(search, "query_id long, id long, s double").withColumn("score", F.round("s", digits))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
 def encoded(v: Column) -> Column:
     """A vector as (scale, codes): eight bits a dimension."""
     scale = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) / 127

@@ -154,3 +154,16 @@ def w13_adjacent_expansion(spark, d):
 def w11_per_session_cap(spark, d):
     rows = load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
     return relational.top_per_key(rows, ["conv_id"], [F.desc("n"), F.col("turn")], 2)
+
+
+#: Vectors of an item, and which items ask.
+TOKENS, ASKING = 4, 10
+
+
+@query(f"""with t as (select vec_id // {TOKENS} as id, vec_id % {TOKENS} as pos, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+p as (select q.id as query_id, c.id, q.pos, max(list_dot_product(q.v, c.v)) as best from t q join t c on q.id % {ASKING} = 0 and q.id <> c.id group by all), s as (select query_id, id, round(sum(best), 4) as score from p group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, id, score, rank from r where rank <= 5""")
+def k17_token_interaction(spark, d):
+    """Late interaction of items of four vectors each: each tenth item asks all others."""
+    t = load(spark, d, "embeddings").select(F.floor(F.col("vec_id") / TOKENS).alias("id"), (F.col("vec_id") % TOKENS).alias("pos"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return vector.late_interaction(t.where(F.col("id") % ASKING == 0), t)
