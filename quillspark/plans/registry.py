@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import answers, bundled, chunks, compiled, consolidated, entities, evidence, files, flowing, imports, marked, packs, paths, project, reduce, relational, retrieval, sessions, stores, text, upkeep  # noqa: E402,F401  (they register their queries)
+from . import answers, bundled, chunks, compiled, consolidated, entities, evidence, files, flowing, imports, marked, packs, paths, planned, project, reduce, relational, retrieval, sessions, stores, text, upkeep  # noqa: E402,F401  (they register their queries)
