@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import statements as S
+from ..operators import atomic as K
 from ..operators import atoms as A
+from ..session import settled
 from ..sources.tables import load
 from .registry import query
 
@@ -166,3 +169,32 @@ def m06_unit_coverage(spark, d):
     stands = facts.join(said, ["session_id", "turn"]).groupBy("session_id", "turn").agg(F.bool_and(F.contains("whole", F.lower(S.squeezed(F.col("excerpt"))))).alias("verbatim"))
     out = coverage.join(stands, ["session_id", "turn"])
     return out.select(F.col("session_id").alias("conv_id"), "turn", "unit", "unit_sha256", "status", (F.size("fact_ids") > 0).alias("covered"), "verbatim")
+
+
+#: What customers ask of their own turns, and how much of the facts a pack may hold.
+QUESTIONS = ("How many bikes do I own now?", "What is the total price of the castles we visited?", "List my fairs in order", "How many fairs did I attend?", "Has the number of my bikes changed?", "Who is my doctor Ada Box?")
+BUDGET = 400
+
+
+def _pack(spark, d):
+    turns = _order_turns(spark, d)
+    facts, _ = A.compiled(turns)
+    facts = facts.withColumn("owner", F.regexp_extract("session_id", "^[^-]*", 0).cast("long"))
+    ask = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("c_custkey") % len(QUESTIONS)).cast("int") + 1)
+    asked = load(spark, d, "customer").select(F.col("c_custkey").alias("question_id"), F.col("c_custkey").alias("owner"), ask.alias("question"))
+    late = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("session_id"))) - 1
+    ranks = turns.select("owner", "session_id").distinct().select(F.col("owner").alias("question_id"), "session_id", late.alias("rank"))
+    return K.packed(settled(K.scored(asked, facts, ranks)), BUDGET)
+
+
+@query()
+def m11_compiled_pack(spark, d):
+    """The compiled facts of each customer's question by stage and score, and which fit; tested in tests/test_atomic.py."""
+    return _pack(spark, d).select("question_id", "place", "stage", "id", "base", "score", "anchor", "needed", "cost", "taken")
+
+
+@query()
+def m10_atomic_contracts(spark, d):
+    """Which slots of its operation each customer's pack leaves open, and why it is not safe; tested in tests/test_atomic.py."""
+    got = K.contracts(_pack(spark, d))
+    return got.withColumns({c: F.array_join(c, ",") for c in ("missing", "reasons")})

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import chunks, decisions, ledger
+from quillspark.functions import chunks, decisions, ledger, statements
 from quillspark.operators import packing, paths, stores
 from quillspark.sources import files
 
@@ -113,7 +113,7 @@ def test_number_words(spark):
 
 
 def test_claims_of_oneself_and_decisions(spark):
-    got = one(spark, ["I currently use a pen. I own two cats right now!", "nothing"], "string", decisions.structured_claims)
+    got = one(spark, ["I currently use a pen. I own two cats right now!", "nothing"], "string", lambda x: statements.stated_claims(x, F.lit("user")))
     assert [(c.predicate, c.object) for c in got[0]] == [("currently_uses", "a pen"), ("current_quantity", "two cats")] and got[1] == []
     note = one(spark, ["# T\nDECISION: go\nwhy: fast", "plain", None], "string", decisions.decision)
     assert tuple(note[0]) == ("go", "fast", 2, 3) and note[1:] == [None, None]
