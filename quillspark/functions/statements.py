@@ -157,7 +157,7 @@ def stated_claims(text: Column, speaker: Column) -> Column:
     def of_user(said: Column) -> Column:
         clauses = F.flatten(F.transform(claim_units(said), clause_claims))
         key = lambda c: F.concat_ws("\x1f", c["predicate"], plain_key(c["object"]), c["modality"], F.lower(c["excerpt"]))
-        return bound(clauses, lambda c: first_of_each(c, key))
+        return bound(clauses, lambda c: F.when(F.size(c) < 2, c).otherwise(first_of_each(c, key)))
 
     def of_assistant(said: Column) -> Column:
         return F.array_compact(F.array(_found(said, SUGGESTED, _claim("suggested_option", _group(said, SUGGESTED, 1), "suggestion", F.regexp_extract(said, SUGGESTED, 0)))))

@@ -18,6 +18,7 @@ from ..functions import quantities as Q
 from ..functions import statements as S
 from ..functions.chunks import stripped
 from ..functions.text import bound
+from ..session import settled
 
 #: Roles that are read; characters of a line that stays whole and of a unit.
 ROLES, LINE, UNIT = ("user", "assistant", "tool"), 240, 1200
@@ -40,6 +41,8 @@ KIND = "doctor|physician|therapist|counselor|lawyer|attorney|professor"
 TITLED = rf"\b(Dr|Doctor|Prof|Professor)\.?\s+({PERSON}{{0,2}})\b"
 IS_MY = rf"\b({PERSON}{{1,2}})\s+(?:is|was)\s+my\s+({KIND})\b"
 MY = rf"\bmy\s+({KIND}),?\s+({PERSON}{{1,2}})\b"
+#: Fixed value: what a unit has that one of the three patterns finds.
+TELLS = rf"\b(?:Dr|Doctor|Prof|Professor|{KIND})\b"
 #: Kinds of facts by kinds of claims.
 OF_CLAIM = {"action": "event", "fact": "attribute", "goal": "plan", "plan": "plan", "preference": "preference", "state": "state", "suggestion": "recommendation"}
 MONTHS = "january february march april may june july august september october november december".split()
@@ -61,12 +64,12 @@ def units(text: Column) -> Column:
 
     def chunked(unit: Column) -> Column:
         last = F.floor((F.length(unit) - 1) / F.lit(UNIT)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(unit, k * UNIT + 1, F.lit(UNIT)))
+        return F.when(F.length(unit) <= UNIT, F.array(unit)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(unit, k * UNIT + 1, F.lit(UNIT))))
 
     parts = F.flatten(F.transform(F.flatten(F.transform(lines, cut)), chunked))
     plain = lambda u: F.lower(S.squeezed(u))
-    kept = F.filter(parts, lambda u: (plain(u) != "") & ~u.rlike(RULE))
-    return bound(kept, lambda k: S.first_of_each(k, plain))
+    kept = F.filter(parts, lambda u: ~u.rlike(RULE) & (plain(u) != ""))
+    return bound(kept, lambda k: F.when(F.size(k) < 2, k).otherwise(S.first_of_each(k, plain)))
 
 
 def resolved_date(text: Column, observed: Column) -> Column:
@@ -109,7 +112,7 @@ def members(unit: Column) -> Column:
     is_my = all_of(IS_MY, lambda m: F.regexp_extract(m, IS_MY, 1), lambda m: F.element_at(kinds, F.regexp_extract(m, IS_MY, 2)))
     my = all_of(MY, lambda m: F.regexp_extract(m, MY, 2), lambda m: F.element_at(kinds, F.regexp_extract(m, MY, 1)))
     named = F.filter(F.concat(titled, is_my, my), lambda m: person_key(m["name"]) != "")
-    return bound(named, lambda a: S.first_of_each(a, lambda m: F.concat_ws("\x1f", person_key(m["name"]), m["category"])))
+    return F.when(unit.rlike(TELLS), bound(named, lambda a: S.first_of_each(a, lambda m: F.concat_ws("\x1f", person_key(m["name"]), m["category"])))).otherwise(F.array().cast("array<struct<name:string,category:string,excerpt:string>>"))
 
 
 def _first(unit: Column, rules, other: Column) -> Column:
@@ -158,24 +161,29 @@ def _number_facts(id_: Column, unit: Column, subject: Column, kind: Column, mode
 
 
 def _growth_fact(id_: Column, unit: Column) -> Column:
+    def fact(thing: Column) -> Column:
+        one = F.struct(F.lit(1.0).alias("value"), thing.alias("unit"), F.lit("counter_increment").alias("role"))
+        qualifiers = {"atomic_origin": "deterministic_semantic", "counter_operation": "increment", "counter_key": F.concat(F.lit("user:current_quantity:"), thing), "entity_category": thing}
+        return _fact(F.concat(id_, F.lit("-delta")), F.regexp_extract(unit, GROWS, 0), "user", "counter_delta", thing, "event", "asserted", None, one, qualifiers, None, SURE_GROWTH)
+
     words = F.regexp_extract_all(F.regexp_extract(unit, GROWS, 1), F.lit("[A-Za-z]+"), 0)
-    thing = canonical(F.element_at(words, -1))
-    one = F.struct(F.lit(1.0).alias("value"), thing.alias("unit"), F.lit("counter_increment").alias("role"))
-    qualifiers = {"atomic_origin": "deterministic_semantic", "counter_operation": "increment", "counter_key": F.concat(F.lit("user:current_quantity:"), thing), "entity_category": thing}
-    fact = _fact(F.concat(id_, F.lit("-delta")), F.regexp_extract(unit, GROWS, 0), "user", "counter_delta", thing, "event", "asserted", None, one, qualifiers, None, SURE_GROWTH)
-    return F.when(unit.rlike(GROWS), F.array(fact)).otherwise(F.array().cast(f"array<{FACT}>"))
+    return F.when(unit.rlike(GROWS), F.array(bound(canonical(F.element_at(words, -1)), fact))).otherwise(F.array().cast(f"array<{FACT}>"))
 
 
 def canonical(word: Column) -> Column:
     """As ``quantities.canonical``."""
-    low, out = F.lower(word), F
-    for ending in Q.ENDINGS:
-        fits = low.endswith(ending) & (F.length(low) - len(ending) > 3)
-        if ending == "s":
-            fits = fits & ~low.rlike(f"({'|'.join(Q.KEEPS_S)})$")
-        cut = F.substring(low, F.lit(1), F.length(low) - len(ending))
-        out = out.when(fits, F.concat(cut, F.lit("y")) if ending == "ies" else cut)
-    return out.otherwise(low)
+
+    def of(low: Column) -> Column:
+        out = F
+        for ending in Q.ENDINGS:
+            fits = low.endswith(ending) & (F.length(low) - len(ending) > 3)
+            if ending == "s":
+                fits = fits & ~low.rlike(f"({'|'.join(Q.KEEPS_S)})$")
+            cut = F.substring(low, F.lit(1), F.length(low) - len(ending))
+            out = out.when(fits, F.concat(cut, F.lit("y")) if ending == "ies" else cut)
+        return out.otherwise(low)
+
+    return bound(F.lower(word), of)
 
 
 def _member_facts(id_: Column, unit: Column) -> Column:
@@ -208,22 +216,25 @@ def compiled(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     unit, its own facts and the turn's statements that hold or are held by it.
     """
     rows = turns.where(F.col("role").isin(*ROLES)).select("session_id", F.col("date").cast("date").alias("date"), "turn", F.col("role").alias("speaker"), "text")
+    # a turn is few bytes and much work: dealt out, as splits of a file by bytes leave most cores idle
+    rows = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id", "turn")
     rows = rows.withColumn("claims", S.stated_claims(F.col("text"), F.col("speaker")))
     rows = rows.withColumn("at", F.concat_ws("-", F.col("session_id").cast("string"), F.concat(F.lit("t"), F.col("turn").cast("string"))))
     rows = rows.select("session_id", "date", "turn", "speaker", "at", _claim_facts(F.col("at"), F.col("claims"), F.col("date")).alias("stated"), units(F.col("text")).alias("units"))
-    base = rows.select("session_id", "date", "turn", "speaker", "at", "stated", F.posexplode("units").alias("unit", "said"))
+    # outer, then without the empty ones: an inner one asks first whether the array has anything, and so works it out three times
+    base = rows.select("session_id", "date", "turn", "speaker", "at", "stated", F.posexplode_outer("units").alias("unit", "said")).where("unit is not null")
     unit, user = F.col("said"), F.col("speaker") == "user"
-    base = base.withColumn("id", F.concat(F.col("at"), F.lit("-u"), F.col("unit").cast("string"))).withColumn("numbers", Q.quantities_of(unit))
+    base = base.withColumn("id", F.concat(F.col("at"), F.lit("-u"), F.col("unit").cast("string"))).withColumns({"numbers": Q.quantities_of(unit), "sort": _first(unit, KINDS, F.lit("other")), "meant": _first(unit, MEANT, F.lit("asserted"))})
     none = F.array().cast(f"array<{FACT}>")
     more = F.when(user, F.concat(_growth_fact(F.col("id"), unit), _member_facts(F.col("id"), unit))).otherwise(none)
-    numbered = _number_facts(F.col("id"), unit, F.col("speaker"), _first(unit, KINDS, F.lit("other")), _first(unit, MEANT, F.lit("asserted")), F.col("numbers"))
+    numbered = _number_facts(F.col("id"), unit, F.col("speaker"), F.col("sort"), F.col("meant"), F.col("numbers"))
     found = base.select("session_id", "date", "turn", "speaker", "unit", "said", "stated", F.concat(numbered, more).alias("facts"))
     near = F.filter("stated", lambda f: F.contains(F.col("said"), f["excerpt"]) | F.contains(f["excerpt"], F.col("said")))
     ids = F.transform(F.concat("facts", near), lambda f: f["id"])
     coverage = found.select("session_id", "turn", "unit", F.sha2(F.col("said").cast("binary"), 256).alias("unit_sha256"), F.when(F.size(ids) > 0, "facts_extracted").otherwise("processed_no_fact").alias("status"), ids.alias("fact_ids"))
     keys = ("session_id", "date", "turn", "speaker")
-    of_units = found.select(*keys, "unit", F.inline("facts"))
-    of_claims = rows.select(*keys, F.lit(None).cast("int").alias("unit"), F.inline("stated"))
+    of_units = found.select(*keys, "unit", F.inline_outer("facts")).where("id is not null")
+    of_claims = rows.select(*keys, F.lit(None).cast("int").alias("unit"), F.inline_outer("stated")).where("id is not null")
     first = F.get(Q.quantities_of(F.col("object")), F.lit(0))
     of_claims = of_claims.withColumn("quantity", _amount(first))
     return of_units.unionByName(of_claims), coverage
@@ -236,7 +247,7 @@ def counters(facts: DataFrame, *owner: str) -> DataFrame:
     """
     key = F.coalesce("supersession_key", F.col("qualifiers")["counter_key"])
     c = facts.select(*owner, "date", "session_id", "turn", "unit", F.regexp_extract(key, "^user:current_quantity:(.*)$", 1).alias("category"), F.col("quantity")["value"].alias("value"), F.col("qualifiers")["counter_snapshot"].isNotNull().alias("is_count"), (F.col("predicate") == "counter_delta").alias("is_step"))
-    c = c.where("is_count or is_step")
+    c = settled(c.where("is_count or is_step"))  # read twice below, compiled once
     late = F.struct("date", F.col("session_id"), "turn", "unit")
     last = c.where("is_count").groupBy(*owner, "category").agg(F.max_by("value", late).alias("held"), F.max(late).alias("at"))
     joined = c.where("is_step").select(*owner, "category", "value", late.alias("step")).join(last, [*owner, "category"], "full")
