@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .quantities import CATEGORIES, ENDINGS, KEEPS_S
+from .quantities import canonical as canonical_word
 from .statements import squeezed
 from .text import bound
 
@@ -15,6 +16,7 @@ DOES = (
     "all average before between change changed compare compared current currently decrease decreased difference distinct earliest elapsed first former formerly how increase increased latest list many most now "
     "number old older over previous previously recent recently than reduced raised sum total used versus what when which"
 ).split()
+ACTS = sorted({canonical_word(w) for w in DOES})
 #: Operation, patterns that a question has to have, slots to be filled, confidence, reason; the first match wins.
 RULES = (
     ("temporal_difference", (r"\b(how long|elapsed|time between|days? between|weeks? between|months? between|years? between|how many (?:days?|weeks?|months?|years?)(?: ago| before| after| since)?)\b",), ("start_date", "end_date"), 0.96, "elapsed-time operation"),
@@ -50,8 +52,7 @@ def canonical(word: Column) -> Column:
 
 def _terms(text: Column) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) > 2) & ~w.isin(STOP))
-    acts = F.array_distinct(F.transform(F.array(*map(F.lit, DOES)), canonical))
-    return F.array_sort(F.array_except(F.transform(words, canonical), acts))
+    return F.sort_array(F.array_except(F.transform(words, canonical), F.array(*map(F.lit, ACTS))))
 
 
 def plan(question: Column) -> Column:
