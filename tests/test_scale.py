@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import atoms as A
+from quillspark.operators import vector
 
 TURN = "session_id string, date string, turn int, role string, text string"
 
@@ -22,3 +23,17 @@ def test_counters_compile_once(spark):
     got = A.counters(facts.withColumn("owner", F.lit(1)), "owner")
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r.category, r.held, r.added, r.current) for r in got.collect()] == [("bike", 3.0, 1.0, 4.0)]
+
+
+def test_codes_that_hide_the_best_do_not_lose_them(spark):
+    # 200 rows whose codes equal those of the five best, and whose ids come first
+    rows = [(0, [1.0, 0.0])] + [(k, [0.5001, 1.0]) for k in range(1, 201)] + [(k, [0.5037, 1.0]) for k in range(201, 206)]
+    v = spark.createDataFrame(rows, "id long, v array<float>")
+    got = vector.quantized_top_k(v.where("id = 0"), v, 5).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in got] == [(k, 0.5037) for k in range(201, 206)]
+
+
+def test_scores_are_rounded_once(spark):
+    v = spark.createDataFrame([(0, [1.0]), (1, [0.466549999]), (2, [0.4665]), (3, [0.00001])], "id long, v array<double>")
+    got = vector.top_k(v.where("id = 0"), v, 5).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in got] == [(1, 0.4665), (2, 0.4665)]
