@@ -11,6 +11,8 @@ from ..session import settled
 K1, B = 1.5, 0.75
 #: Query terms (of all queries) up to which their weights are broadcast, about 60 bytes each.
 BROADCAST_TERMS = 1_000_000
+#: Pairs of a document and a query that a task sums, some 100 bytes each, and the most tasks.
+PAIRS, MOST_TASKS = 1_000_000, 20_000
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -42,14 +44,18 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, digits: int = 4) -> DataFra
 
     Repeated query terms count repeatedly; scores are divided by the query's
     best and rounded.  The text is read once and cut down to query terms before
-    anything is shuffled; scores are summed where a document's terms stand.
+    anything is shuffled; scores are summed where a document's terms stand.  The
+    number of tasks grows with documents times queries, so that a task's sums
+    take no more memory over more documents.
     """
     terms = queries.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     wanted = terms.select("term").distinct().withColumn("found", F.col("term"))
     each = docs.select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("term"))
     # the one pass over the text: (doc_id, term, tf) of the query terms, all other tokens of a document under null
     counts = settled(each.join(wanted, "term", "left").groupBy("doc_id", F.col("found").alias("term")).agg(F.count("term").alias("tf")))
-    counts = counts.repartition("doc_id").select("doc_id", "term", "tf", F.sum("tf").over(Window.partitionBy("doc_id")).alias("dl"))
+    pairs = counts.agg(F.approx_count_distinct("doc_id")).first()[0] * terms.agg(F.approx_count_distinct("item_id")).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-pairs // PAIRS)))
+    counts = counts.repartition(tasks, "doc_id").select("doc_id", "term", "tf", F.sum("tf").over(Window.partitionBy("doc_id")).alias("dl"))
     stats = counts.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     found = counts.where("term is not null")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -62,7 +68,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, digits: int = 4) -> DataFra
         weights = F.broadcast(weights)
     one = F.col("idf") * F.col("tf") * (K1 + 1) / norm
     raw = found.join(weights, "term").groupBy("item_id", "doc_id").agg(F.sum(one * F.col("qtf")).alias("raw"))
-    raw = raw.repartition("item_id", "doc_id")  # an exchange that both uses below read: the sums are made once
+    raw = raw.repartition(tasks, "item_id", "doc_id")  # an exchange that both uses below read: the sums are made once
     best = raw.groupBy("item_id").agg(F.max("raw").alias("top"))
     return raw.join(F.broadcast(best) if weights_fit else best, "item_id").select("item_id", "doc_id", F.round(F.col("raw") / F.col("top"), digits).alias("score"))
 

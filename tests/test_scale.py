@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import atoms as A
-from quillspark.operators import vector
+from quillspark.operators import lexical, vector
 
 TURN = "session_id string, date string, turn int, role string, text string"
 
@@ -37,3 +37,12 @@ def test_scores_are_rounded_once(spark):
     v = spark.createDataFrame([(0, [1.0]), (1, [0.466549999]), (2, [0.4665]), (3, [0.00001])], "id long, v array<double>")
     got = vector.top_k(v.where("id = 0"), v, 5).orderBy("rank").collect()
     assert [(r.id, r.score) for r in got] == [(1, 0.4665), (2, 0.4665)]
+
+
+def test_sums_of_scores_are_dealt_over_more_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"lamp {'tea ' * (k % 3)} word{k % 7}") for k in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"tea lamp word{k}") for k in range(5)], "item_id long, text string")
+    want = sorted(map(tuple, lexical.bm25(docs, items).collect()))
+    monkeypatch.setattr(lexical, "PAIRS", 5)
+    assert lexical.bm25_scores(docs, items).rdd.getNumPartitions() >= 30
+    assert sorted(map(tuple, lexical.bm25(docs, items).collect())) == want
