@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import settled
 
+#: Walks of the last step that a task holds.
+WALKS = 2_000_000
+
 
 def by(key: str, *order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*order)
@@ -57,15 +60,24 @@ def distances(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
 
 
 def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(node, reached): how many other nodes get to ``node`` along directed edges in 1 to ``depth`` steps; nodes that none gets to are left out."""
+    """(node, reached): how many other nodes get to ``node`` along directed edges in 1 to ``depth`` steps; nodes that none gets to are left out.
+
+    The pairs of the last step, by far the most, are counted as they come: they
+    move once, to tasks whose number grows with them, and are never stored.
+    """
     e = settled(edges.where("src <> dst").select("src", "dst").distinct())
     seen = edge = e.select(F.col("dst").alias("node"), F.col("src").alias("source"))
-    for _ in range(depth - 1):
-        far = edge.join(e.select(F.col("dst").alias("source"), F.col("src").alias("far")), "source").where("far <> node").select("node", F.col("far").alias("source")).distinct()
-        edge = settled(far.join(seen, ["node", "source"], "left_anti"))
+    for step in range(depth - 1):
+        far = edge.join(e.select(F.col("dst").alias("source"), F.col("src").alias("far")), "source").where("far <> node").select("node", F.col("far").alias("source"))
+        if step == depth - 2:
+            walks = edge.groupBy("source").agg(F.count("*").alias("n")).join(e.groupBy(F.col("dst").alias("source")).agg(F.count("*").alias("m")), "source").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+            parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-walks // WALKS))
+            seen = seen.unionByName(far).repartition(parts, "node", "source").distinct()
+            break
+        edge = settled(far.distinct().join(seen, ["node", "source"], "left_anti"))
         if edge.isEmpty():
             break
-        seen = settled(seen.unionByName(edge))
+        seen = seen.unionByName(edge)
     return seen.groupBy("node").agg(F.count("*").alias("reached"))
 
 

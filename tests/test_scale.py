@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import atoms as A
-from quillspark.operators import lexical, vector
+from quillspark.operators import graph, lexical, vector
 
 TURN = "session_id string, date string, turn int, role string, text string"
 
@@ -46,3 +46,11 @@ def test_sums_of_scores_are_dealt_over_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "PAIRS", 5)
     assert lexical.bm25_scores(docs, items).rdd.getNumPartitions() >= 30
     assert sorted(map(tuple, lexical.bm25(docs, items).collect())) == want
+
+
+def test_pairs_of_the_last_step_are_not_stored(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(graph, "settled", lambda df, keep=graph.settled: stored.append(df) or keep(df))
+    e = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(k, 20) for k in range(9)] + [(20, 0)], "src long, dst long")
+    got = {r.node: r.reached for r in graph.blast_radius(e, 2).collect()}
+    assert got[20] == 9 and got[0] == 9 and got[1] == 2 and got[2] == 2 and len(stored) == 1
