@@ -153,16 +153,20 @@ def seeds(found: DataFrame) -> DataFrame:
     return best.withColumn("again", again).withColumn("nth", nth).where(F.col("nth") <= SEEDS).drop("again")
 
 
-def transitions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every way to go on from a node under each lens: lens, src, dst, edge, gain (without the node's own); the first ``FAN`` each way."""
-    lenses = [name for name, _ in LENSES] + ["execution"]
-    sure = edges.where(F.col("confidence").isin(*CERTAIN)).select(F.col("id").alias("edge"), "src", "dst", "type", "confidence", F.explode(F.array(*map(F.lit, lenses))).alias("lens"))
+def transitions(edges: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Every way to go on from ``ends`` (lens, node): lens, src, dst, edge, gain (without the node's own); the first ``FAN`` each way.
+
+    The ends are those of the beams, a bounded few; they go to the edges, which
+    stay where they are and are not copied for each lens.
+    """
+    at = F.broadcast(ends.select("lens", F.col("node").alias("end")))
+    sure = edges.where(F.col("confidence").isin(*CERTAIN)).select(F.col("id").alias("edge"), "src", "dst", "type", "confidence")
     kinds = lambda c: nodes.select(F.col("id").alias(c), F.col("kind").alias(f"{c}_kind"))
-    out = sure.where(F.col("type").isin(*RUNS, *SUPPORTS, "contains") | F.array_contains(_by_lens(MORE, F.col("lens")), F.col("type"))).join(kinds("src"), "src").join(kinds("dst"), "dst")
+    out = sure.join(at, F.col("src") == F.col("end")).where(F.col("type").isin(*RUNS, *SUPPORTS, "contains") | F.array_contains(_by_lens(MORE, F.col("lens")), F.col("type"))).join(kinds("src"), "src").join(kinds("dst"), "dst")
     out = out.where((F.col("type") != "contains") | (~F.col("src_kind").isin("file", "project") & F.col("dst_kind").isin("function", "method", "component", "class", "route")))
     rank = F.row_number().over(Window.partitionBy("lens", "src").orderBy(F.col("type") != "calls", "edge"))
     out = out.withColumn("k", rank).where(F.col("k") <= FAN).withColumn("backwards", F.lit(False)).select("lens", "src", "dst", "edge", "type", "confidence", "backwards", "k")
-    back = sure.where(F.col("type").isin(*ENTERS) | F.array_contains(_by_lens(BACKWARDS, F.col("lens")), F.col("type"))).select("lens", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge", "type", "confidence")
+    back = sure.join(at, F.col("dst") == F.col("end")).where(F.col("type").isin(*ENTERS) | F.array_contains(_by_lens(BACKWARDS, F.col("lens")), F.col("type"))).select("lens", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge", "type", "confidence")
     rank = F.row_number().over(Window.partitionBy("lens", "src").orderBy("type", "edge"))
     back = back.withColumn("k", rank).where(F.col("k") <= FAN).withColumn("backwards", F.lit(True)).join(nodes.select(F.col("id").alias("dst")), "dst").select(out.columns)
     gain = edge_score(F.col("type"), F.col("lens"), F.col("backwards")) + F.when(F.col("confidence") == "user_confirmed", CONFIRMED).otherwise(0.0)
@@ -179,7 +183,6 @@ def flows(questions: DataFrame, nodes: DataFrame, edges: DataFrame, found: DataF
     q = questions.select("question_id", lens(F.col("query")).alias("lens"), terms(F.col("query")).alias("terms"))
     known = settled(found.select("question_id", F.col("id").alias("node"), F.col("score").alias("own"), "anchor"))
     text = nodes.select(F.col("id").alias("node"), F.concat_ws("\n", *_said("label", "qualified", "path", "signature")).alias("text"), bonus().alias("extra"))
-    ways = settled(transitions(edges, nodes).join(text.withColumnRenamed("node", "dst"), "dst"))
     new_terms = lambda terms_, said, text_: F.filter(terms_, lambda t: ~F.array_contains(said, t) & F.contains(text_, t))
     none = F.array().cast("array<string>")
     s = seeds(found).join(q, "question_id").join(nodes.select("id", "kind"), "id")
@@ -206,6 +209,9 @@ def flows(questions: DataFrame, nodes: DataFrame, edges: DataFrame, found: DataF
     for _ in range(steps):
         keep(live.where(F.size("path") >= steps))
         going = live.where(F.size("path") < steps)
+        ways = settled(transitions(edges, nodes, going.select("lens", F.element_at("path", -1).alias("node")).distinct()))
+        met = text.join(F.broadcast(ways.select(F.col("dst").alias("node")).distinct()), "node")  # at most FAN each way of an end
+        ways = ways.join(met.withColumnRenamed("node", "dst"), "dst")
         grown = going.join(ways, (going["lens"] == ways["lens"]) & (F.element_at("path", -1) == ways["src"])).drop(ways["lens"]).where(~F.array_contains("path", F.col("dst")))
         grown = grown.join(known.withColumnRenamed("node", "dst"), ["question_id", "dst"], "left")
         grown = grown.withColumn("fresh", new_terms(F.col("terms"), F.col("said"), F.col("text"))).withColumn("meets", F.col("anchor").isNotNull() & ~F.array_contains("anchors", F.col("dst").cast("string")))

@@ -181,3 +181,14 @@ def test_flows_without_nodes(spark):
     n, e, q = spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE), spark.createDataFrame([(1, "load save")], "question_id int, query string")
     c = W.candidates(q, n, spark.createDataFrame([], "question_id int, id long, rank int"))
     assert c.count() == 0 and W.flows(q, n, e, c).count() == 0
+
+
+def test_ways_are_made_for_the_ends_of_beams_only(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(W, "settled", lambda df, keep=W.settled: stored.append(keep(df)) or stored[-1])
+    nodes = spark.createDataFrame([(k, f"part_{k}", f"mod.part_{k}", "src/a.py", None, "function", "source", 0.0) for k in range(400)], NODE)
+    edges = spark.createDataFrame([(1000 + k, k, k + 1, "calls", "extracted") for k in range(399)], EDGE)
+    asked = spark.createDataFrame([(1, "How does part_7 run?")], "question_id long, query string")
+    found = W.candidates(asked, nodes, spark.createDataFrame([], "question_id long, id long, rank int"))
+    got = W.flows(asked, nodes, edges, found).collect()
+    assert got and max(df.count() for df in stored) < 100  # 399 edges under eleven lenses before
