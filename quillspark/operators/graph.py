@@ -9,6 +9,8 @@ from ..session import settled
 
 #: Walks of the last step that a task holds.
 WALKS = 2_000_000
+#: Links of one list.
+LINKS = 4096
 
 
 def by(key: str, *order: str) -> WindowSpec:
@@ -108,14 +110,24 @@ def reach_estimates(edges: DataFrame, depth: int = 3, lg_k: int = 11) -> DataFra
     """(node, reached): about how many others get to ``node`` in 1 to ``depth`` steps, from sketches that are joined along the edges.
 
     A node's sketch takes 2 ** ``lg_k`` bytes at most, whatever it stands for, and errs by some 1.04 / 2 ** (lg_k / 2).
+    The first step sketches plain nodes.  After it a sketch moves only along edges
+    whose source has grown in the step before, and a node that grows no more is
+    left where it was written.
     """
-    e = settled(edges.where("src <> dst").select("src", "dst").distinct())
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    sketch = settled(nodes.groupBy("node").agg(F.hll_sketch_agg(F.col("node").cast("long"), F.lit(lg_k)).alias("s")))
-    for _ in range(depth):
-        along = e.join(sketch.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "s")
-        sketch = settled(along.unionByName(sketch).groupBy("node").agg(F.hll_union_agg("s").alias("s")))
-    return sketch.select("node", (F.hll_sketch_estimate("s") - 1).alias("reached")).where("reached > 0")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = settled(edges.where("src <> dst").select("src", "dst").repartition(parts, "dst").distinct())
+    first = e.select("dst", F.explode(F.array("src", "dst")).alias("near")).groupBy("dst").agg(F.hll_sketch_agg(F.col("near").cast("long"), F.lit(lg_k)).alias("s"))
+    grown = settled(first.select(F.col("dst").alias("node"), "s"))
+    kept = None
+    for _ in range(depth - 1):
+        along = e.join(grown.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "s")
+        more = along.groupBy("node").agg(F.hll_union_agg("s").alias("more"))
+        new = settled(grown.join(more, "node").select("node", F.hll_union("s", "more").alias("s")))  # who grows in a step has grown in the one before
+        still = grown.join(new.select("node"), "node", "left_anti")
+        kept = still if kept is None else kept.unionByName(still)
+        grown = new
+    kept = grown if kept is None else kept.unionByName(grown)
+    return kept.select("node", (F.hll_sketch_estimate("s") - 1).alias("reached")).where("reached > 0")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

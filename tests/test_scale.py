@@ -1,5 +1,6 @@
 """Work that has to be spread, done once, or kept within bounds as tables grow."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import atoms as A
@@ -54,3 +55,10 @@ def test_pairs_of_the_last_step_are_not_stored(spark, monkeypatch):
     e = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(k, 20) for k in range(9)] + [(20, 0)], "src long, dst long")
     got = {r.node: r.reached for r in graph.blast_radius(e, 2).collect()}
     assert got[20] == 9 and got[0] == 9 and got[1] == 2 and got[2] == 2 and len(stored) == 1
+def test_sketches_move_only_where_nodes_have_grown(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(graph, "settled", lambda df, keep=graph.settled: stored.append(keep(df)) or stored[-1])
+    e = spark.createDataFrame([(k, 100 + k) for k in range(50)] + [(100, 200), (200, 300)], "src long, dst long")
+    got = {r.node: r.reached for r in graph.reach_estimates(e, 3).collect()}
+    assert got == {**{100 + k: 1 for k in range(50)}, 200: 2, 300: 3}
+    assert [df.count() for df in stored if "s" in df.columns] == [52, 2, 1]  # all 102 in each step before
