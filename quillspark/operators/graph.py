@@ -131,16 +131,27 @@ def reach_estimates(edges: DataFrame, depth: int = 3, lg_k: int = 11) -> DataFra
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node that undirected edges reach, by propagated minima and pointer jumps."""
-    e = edges.where("src <> dst").select("src", "dst")
-    e = settled(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = settled(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    """(node, component): the smallest node that undirected edges reach.
+
+    A round hangs every node on its least neighbour, if that is smaller, follows
+    these to their roots and goes on with the edges between different roots: the
+    edges get fewer from round to round, and none is looked at once its ends agree.
+    """
+    pair = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    e = settled(edges.where("src <> dst").select(*pair).distinct())
+    found = None
     for _ in range(rounds):
-        least = e.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        low = settled(label.join(least, "node").select("node", F.least("component", "near").alias("component")))
-        jump = low.join(low.select(F.col("node").alias("component"), F.col("component").alias("root")), "component").select("node", F.col("root").alias("component"))
-        new = settled(jump)
-        if new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty():
-            return new
-        label = new
+        ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")), F.struct(F.col("dst").alias("node"), F.col("src").alias("near")))).alias("x")).select("x.*")
+        label = settled(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")))
+        moved = True
+        while moved:  # a chain's length halves
+            jump = label.join(label.select(F.col("node").alias("component"), F.col("component").alias("root")), "component")
+            label = settled(jump.select("node", F.col("root").alias("component"), (F.col("root") < F.col("component")).alias("moved")))
+            moved = not label.where("moved").isEmpty()
+        label = label.select("node", "component")
+        found = label if found is None else settled(found.join(label.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        e = e.join(label.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        e = settled(e.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        if e.isEmpty():
+            return found
     raise RuntimeError(f"components did not settle in {rounds} rounds")

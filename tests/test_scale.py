@@ -62,3 +62,8 @@ def test_sketches_move_only_where_nodes_have_grown(spark, monkeypatch):
     got = {r.node: r.reached for r in graph.reach_estimates(e, 3).collect()}
     assert got == {**{100 + k: 1 for k in range(50)}, 200: 2, 300: 3}
     assert [df.count() for df in stored if "s" in df.columns] == [52, 2, 1]  # all 102 in each step before
+def test_components_leave_edges_whose_ends_agree(spark):
+    # a chain and a star, which spreading minima take many rounds to cross
+    e = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(k, 999) for k in range(500, 520)], "src long, dst long")
+    got = {r.node: r.component for r in graph.components(e, 2).collect()}
+    assert got == {**{k: 0 for k in range(201)}, **{k: 500 for k in range(500, 520)}, 999: 500}
