@@ -27,23 +27,27 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank) after a fixed number of steps; the mass of nodes without an outgoing edge goes to all.
 
-    Links and nodes are partitioned by node once and for all; a step joins the
-    ranks where they stand and shuffles only what the links bring.  Each step's
+    Links and nodes are partitioned and sorted by node once and for all, a node's
+    links in lists of about ``LINKS``; a step joins the ranks where they stand, a
+    list at a time, and shuffles only what the links bring.  Each step's
     ranks are settled, so its plan does not hold the steps before it, and the
     mass of nodes without an edge is a sum inside the step's own job.
     """
     e = edges.where("src <> dst").select("src", "dst").distinct()
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = e.groupBy("src").agg(F.count("*").alias("deg"))
-    links = settled(e.join(out, "src").select("src", "dst", (1 / F.col("deg")).alias("share")).repartition(parts, "src"))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("deg") / LINKS))
+    links = e.join(out, "src").groupBy("src", (1 / F.col("deg")).alias("share"), part.alias("part")).agg(F.collect_list("dst").alias("to"))
+    links = settled(links.select("src", "share", "to").repartition(parts, "src").sortWithinPartitions("src"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(out.select(F.col("src").alias("node"), F.lit(False).alias("loose")), "node", "left")
-    nodes = settled(nodes.select("node", F.coalesce("loose", F.lit(True)).alias("loose")).repartition(parts, "node"))
+    nodes = settled(nodes.select("node", F.coalesce("loose", F.lit(True)).alias("loose")).repartition(parts, "node").sortWithinPartitions("node"))
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(iterations if n else 0):
         loose = rank.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0)).alias("mass"))
-        got = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = nodes.join(got.repartition(parts, "node"), "node", "left").crossJoin(F.broadcast(loose))  # one row
+        given = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").select(F.explode("to").alias("node"), (F.col("rank") * F.col("share")).alias("given"))
+        got = given.groupBy("node").agg(F.sum("given").alias("got"))
+        new = nodes.join(got, "node", "left").crossJoin(F.broadcast(loose))  # one row
         rank = settled(new.select("node", "loose", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("mass") / n)).alias("rank")))
     return rank.select("node", F.round("rank", 12).alias("rank"))
 

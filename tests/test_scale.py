@@ -55,6 +55,8 @@ def test_pairs_of_the_last_step_are_not_stored(spark, monkeypatch):
     e = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(k, 20) for k in range(9)] + [(20, 0)], "src long, dst long")
     got = {r.node: r.reached for r in graph.blast_radius(e, 2).collect()}
     assert got[20] == 9 and got[0] == 9 and got[1] == 2 and got[2] == 2 and len(stored) == 1
+
+
 def test_sketches_move_only_where_nodes_have_grown(spark, monkeypatch):
     stored = []
     monkeypatch.setattr(graph, "settled", lambda df, keep=graph.settled: stored.append(keep(df)) or stored[-1])
@@ -62,8 +64,22 @@ def test_sketches_move_only_where_nodes_have_grown(spark, monkeypatch):
     got = {r.node: r.reached for r in graph.reach_estimates(e, 3).collect()}
     assert got == {**{100 + k: 1 for k in range(50)}, 200: 2, 300: 3}
     assert [df.count() for df in stored if "s" in df.columns] == [52, 2, 1]  # all 102 in each step before
+
+
 def test_components_leave_edges_whose_ends_agree(spark):
     # a chain and a star, which spreading minima take many rounds to cross
     e = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(k, 999) for k in range(500, 520)], "src long, dst long")
     got = {r.node: r.component for r in graph.components(e, 2).collect()}
     assert got == {**{k: 0 for k in range(201)}, **{k: 500 for k in range(500, 520)}, 999: 500}
+
+
+def test_pagerank_cuts_the_links_of_a_node_into_lists(spark, monkeypatch):
+    e = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(k, (k * 7) % 40) for k in range(1, 40)], "src long, dst long")
+    want = {r.node: r.rank for r in graph.pagerank(e, 5).collect()}
+    monkeypatch.setattr(graph, "LINKS", 4)
+    stored = []
+    monkeypatch.setattr(graph, "settled", lambda df, keep=graph.settled: stored.append(keep(df)) or stored[-1])
+    got = {r.node: r.rank for r in graph.pagerank(e, 5).collect()}
+    assert got == pytest.approx(want, abs=1e-11) and len(got) == 40
+    lists = [df for df in stored if "to" in df.columns][0].selectExpr("size(to) as n").collect()
+    assert 1 < sum(r.n == 1 for r in lists) and max(r.n for r in lists) < 39
