@@ -1,11 +1,14 @@
 """Work that has to be spread, done once, or kept within bounds as tables grow."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import atoms as A
 from quillspark.operators import graph, lexical, vector
 
+HALVES = (1.6391499999999999, 1.6392499999999999, 1.6393499999999999, 1.6394499999999999, 1.6395499999999998)
 TURN = "session_id string, date string, turn int, role string, text string"
 
 
@@ -83,3 +86,12 @@ def test_pagerank_cuts_the_links_of_a_node_into_lists(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-11) and len(got) == 40
     lists = [df for df in stored if "to" in df.columns][0].selectExpr("size(to) as n").collect()
     assert 1 < sum(r.n == 1 for r in lists) and max(r.n for r in lists) < 39
+
+
+def test_quantized_scores_are_rounded_as_in_doubles(spark):
+    # products with 10,000 are exactly halves in doubles, though the numbers' decimals lie below
+    rows = [(0, [1.0])] + [(k, [x]) for k, x in enumerate(HALVES, 1)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    want = {k: math.floor(x * 10.0**4 + 0.5) / 10.0**4 for k, x in enumerate(HALVES, 1)}
+    assert {r.id: r.score for r in vector.quantized_top_k(v.where("id = 0"), v, 5).collect()} == want
+    assert {r.id: r.score for r in vector.top_k(v.where("id = 0"), v, 5).collect()} == want
