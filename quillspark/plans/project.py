@@ -59,6 +59,8 @@ def r16_structural_hits(spark, d):
 
 
 CHANGED_SINCE, DEPENDENTS, PARTNERS = "1998-06-01", 30, 20
+#: Pairs of parts that a task counts.
+PAIRS = 2_000_000
 
 
 @query(f"""with c as (select distinct l_partkey as part from lineitem where l_shipdate >= timestamp '{CHANGED_SINCE}'),
@@ -73,11 +75,13 @@ def r17_change_context(spark, d):
     changed = li.where(F.col("l_shipdate") >= F.expr(f"timestamp_ntz '{CHANGED_SINCE} 00:00:00'")).select(F.col("l_partkey").alias("part")).distinct()
     w = relational.ordered(["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity")])
     e = li.select(F.lead("l_partkey").over(w).alias("part"), F.col("l_partkey").alias("other")).where("part <> other").join(changed, "part")
-    use = e.groupBy("part", "other").agg(F.count("*").alias("n")).select(F.lit("dependent").alias("kind"), "part", "other", "n")
     held = li.select("l_orderkey", "l_partkey").distinct()
     both = held.withColumnRenamed("l_partkey", "part").join(changed, "part").join(held.withColumnRenamed("l_partkey", "other"), "l_orderkey").where("part <> other")
-    together = both.groupBy("part", "other").agg(F.count("*").alias("n")).select(F.lit("cochange").alias("kind"), "part", "other", "n")
-    ranked = relational.top_per_key(use.unionByName(together), ["kind", "part"], [F.desc("n"), F.col("other")], max(DEPENDENTS, PARTNERS))
+    pairs = li.groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))  # tasks that count pairs grow with them
+    use = e.repartition(parts, "part", "other").groupBy("part", "other").agg(F.count("*").alias("n")).select(F.lit("dependent").alias("kind"), "part", "other", "n")
+    together = both.select("part", "other").repartition(parts, "part", "other").groupBy("part", "other").agg(F.count("*").alias("n")).select(F.lit("cochange").alias("kind"), "part", "other", "n")
+    ranked = relational.top_per_key(use.unionByName(together).repartition(parts, "kind", "part"), ["kind", "part"], [F.desc("n"), F.col("other")], max(DEPENDENTS, PARTNERS))
     return ranked.where(F.col("rank") <= F.when(F.col("kind") == "dependent", DEPENDENTS).otherwise(PARTNERS)).select("kind", "part", "other", "n", "rank")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import atoms as A
 from quillspark.operators import graph, lexical, vector
+from quillspark.plans.registry import QUERIES
 
 HALVES = (1.6391499999999999, 1.6392499999999999, 1.6393499999999999, 1.6394499999999999, 1.6395499999999998)
 TURN = "session_id string, date string, turn int, role string, text string"
@@ -95,3 +96,14 @@ def test_quantized_scores_are_rounded_as_in_doubles(spark):
     want = {k: math.floor(x * 10.0**4 + 0.5) / 10.0**4 for k, x in enumerate(HALVES, 1)}
     assert {r.id: r.score for r in vector.quantized_top_k(v.where("id = 0"), v, 5).collect()} == want
     assert {r.id: r.score for r in vector.top_k(v.where("id = 0"), v, 5).collect()} == want
+
+
+def test_pairs_of_parts_are_dealt_over_more_tasks(spark, sf_dir, monkeypatch):
+    from quillspark.plans import project
+
+    query = QUERIES["r17_change_context"]
+    want = sorted(map(tuple, query(spark, sf_dir).collect()))
+    monkeypatch.setattr(project, "PAIRS", 300, raising=False)
+    got = query(spark, sf_dir)
+    assert got.rdd.getNumPartitions() > 50
+    assert sorted(map(tuple, got.collect())) == want
