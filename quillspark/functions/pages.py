@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: bytes of a page.
 PAGE_BYTES = 256 * 1024
+#: Texts of a batch that are cut at once.
+HELD = 64
 
 
 def _cut_line(line: str, most: int) -> Iterator[str]:
@@ -51,11 +53,18 @@ def split_pages(text: str | None, most: int = PAGE_BYTES) -> list[str]:
     return [p.strip() for p in pages if p.strip()]
 
 
+def cut_batch(texts: pa.Array, most: int = PAGE_BYTES) -> pa.Array:
+    """The pages of a batch of texts; only ``HELD`` texts at once are Python's own strings."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([split_pages(t.as_py(), most) for t in texts.slice(a, HELD)], kind) for a in range(0, len(texts), HELD)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def pages(text: Column, most: int = PAGE_BYTES) -> Column:
     """array<string>: the pages of each text."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_pages(t, most))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return cut_batch(texts, most)
 
     return cut(text)

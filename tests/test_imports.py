@@ -1,10 +1,12 @@
 """Pages, imports and scan cycles on small inputs."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.functions.pages import split_pages
+from quillspark.functions.pages import cut_batch, split_pages
 from quillspark.sources import importing
 from quillspark.streaming import cycles, windows
 
@@ -84,3 +86,14 @@ def test_tombstones_wait_for_a_whole_cycle(spark, tmp_path):
     spark.createDataFrame([("zz", "present", 99)], "path string, status string, step long").write.parquet(f"{state}/sources/part=99")
     assert cycles.sources(spark, state).where("path = 'zz'").count() == 0
     assert cycles.step(spark, listing([]), state, 3) == (2, "discovered", 0) and cycles.step(spark, listing([]), state, 3) == (2, "tombstone", 5)
+
+
+def test_texts_of_a_batch_are_not_held_at_once():
+    texts = pa.array([None, "", " a \n b"] + [f"{k} " + "word line\n" * 1000 for k in range(1500)])
+    tracemalloc.start()
+    got = cut_batch(texts, 4000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [split_pages(t, 4000) for t in texts.to_pylist()] and got.type == pa.list_(pa.string())
+    assert peak < 6_000_000  # 15 MB of texts and as much of pages before
+    assert len(cut_batch(texts.slice(0, 0))) == 0
