@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import atoms as A
-from quillspark.operators import graph, lexical, vector
+from quillspark.operators import graph, lexical, paths, vector
 from quillspark.plans.registry import QUERIES
 
 HALVES = (1.6391499999999999, 1.6392499999999999, 1.6393499999999999, 1.6394499999999999, 1.6395499999999998)
@@ -107,3 +107,29 @@ def test_pairs_of_parts_are_dealt_over_more_tasks(spark, sf_dir, monkeypatch):
     got = query(spark, sf_dir)
     assert got.rdd.getNumPartitions() > 50
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_pairs_of_terms_are_dealt_over_more_tasks(spark, monkeypatch):
+    rows = [(i, f"t{t}") for t in range(12) for i in range(t, t + 9)] + [(i, "all") for i in range(40)] + [(3, "t0"), (None, "t0")]
+    terms = spark.createDataFrame(rows, "item long, term string")
+    want = {}
+    for t in range(1, 12):  # t0 has ten rows with the null, as SQL counts
+        for a in range(t, t + 9):
+            for b in range(a + 1, t + 9):
+                want[a, b] = want.get((a, b), 0) + 1
+    for a in range(9):
+        for b in range(a + 1, 9):
+            want[a, b] = want.get((a, b), 0) + 1
+    monkeypatch.setattr(paths, "PAIRS", 20, raising=False)
+    monkeypatch.setattr(paths, "BROADCAST_TERMS", 0, raising=False)
+    got = paths.shared_term_pairs(terms, 10)
+    assert got.rdd.getNumPartitions() >= 20
+    assert {(r.a, r.b): r.shared for r in got.collect()} == want
+
+
+def test_pairs_move_as_lists(spark):
+    terms = spark.createDataFrame([(i, "x") for i in range(9)], "item long, term string")
+    got = paths.shared_term_pairs(terms, 10, unique=True)
+    assert got.count() == 36
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "others" in plan
