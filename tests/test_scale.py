@@ -133,3 +133,17 @@ def test_pairs_move_as_lists(spark):
     assert got.count() == 36
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "others" in plan
+
+
+def test_pairs_that_share_one_term_are_not_stored(spark, sf_dir, monkeypatch):
+    from quillspark.plans import paths as plans
+
+    stored = []
+    keep = graph.settled
+    for module in (graph, paths):
+        monkeypatch.setattr(module, "settled", lambda df: stored.append(keep(df)) or stored[-1])
+    assert QUERIES["c02_lexical_groups"](spark, sf_dir).count() > 0
+    assert not any("shared" in df.columns for df in stored)
+    d = spark.createDataFrame([(1, "lamp lamp tree"), (1, "lamp tree"), (2, None), (3, "tree")], "doc_id long, text string")
+    monkeypatch.setattr(plans, "load", lambda *a: d)
+    assert sorted(map(tuple, plans._terms(spark, "").collect())) == [(1, "lamp"), (1, "tree"), (3, "tree")]
