@@ -70,18 +70,21 @@ def plan(question: Column) -> Column:
         scope = F.when(low.rlike(r"\b(i|me|my|mine)\b"), "user").when(low.rlike(r"\b(you|your)\b"), "assistant").otherwise("any")
         counted = F.filter(_terms(F.regexp_extract(low, COUNTED, 1)), lambda w: ~w.isin(*NOT_COUNTED))
         kinds = F.map_from_arrays(F.array(*map(F.lit, CATEGORIES)), F.array(*map(F.lit, CATEGORIES.values())))
-        own = _terms(low)
-        meant = F.array_compact(F.transform(own, lambda w: F.element_at(kinds, w)))
-        others = F.filter(F.array(*map(F.lit, CATEGORIES)), lambda w: F.array_contains(meant, F.element_at(kinds, w)) & ~F.array_contains(own, w))
 
-        def finished(c: Column) -> Column:
+        def finished(c: Column, own: Column, others: Column) -> Column:
             names = c["operation"].isin(*COUNTS)
             return F.struct(
                 c["operation"].alias("operation"), own.alias("targets"), F.array_sort(others).alias("aliases"), F.when(names, counted).otherwise(F.array().cast("array<string>")).alias("counted"), F.when(names, scope).otherwise("any").alias("scope"),
                 c["slots"].alias("slots"), c["eligible"].alias("eligible"), c["confidence"].alias("confidence"), c["reason"].alias("reason"),
             )
 
-        return bound(chosen, finished)
+        def named(own: Column) -> Column:
+            meant = F.array_compact(F.transform(own, lambda w: F.element_at(kinds, w)))
+            alike = lambda m: F.filter(F.array(*map(F.lit, CATEGORIES)), lambda w: F.array_contains(m, F.element_at(kinds, w)) & ~F.array_contains(own, w))
+            others = bound(meant, lambda m: F.when(F.size(m) > 0, alike(m)).otherwise(F.array().cast("array<string>")))
+            return bound(chosen, lambda c: finished(c, own, others))
+
+        return bound(_terms(low), named)
 
     return bound(F.lower(squeezed(question)), read)
 

@@ -37,6 +37,8 @@ def f17_atomic_plans(spark, d):
     """The plan of each customer's question, and its path by how many sessions the customer has."""
     sessions = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct(F.year("o_orderdate")).alias("sessions"))
     asked = F.element_at(F.array(*(F.lit(a[0]) for a in ASKED)), (F.col("c_custkey") % len(ASKED)).cast("int") + 1)
-    rows = load(spark, d, "customer").select("c_custkey", P.plan(asked).alias("p")).join(sessions, "c_custkey", "left")
+    # a question is few bytes and much work: dealt out, and planned before the join, whose tasks are dealt by bytes
+    customers = load(spark, d, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    rows = customers.select("c_custkey", P.plan(asked).alias("p")).join(sessions, "c_custkey", "left")
     listed = (F.array_join(f"p.{c}", " ").alias(c) for c in ("targets", "aliases", "counted"))
     return rows.select("c_custkey", "p.operation", *listed, "p.scope", F.array_join("p.slots", " ").alias("slots"), "p.confidence", P.route(F.col("p"), F.coalesce("sessions", F.lit(0)))["path"].alias("path"))

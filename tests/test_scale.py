@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import planner
 from quillspark.operators import atoms as A
 from quillspark.operators import graph, lexical, paths, vector
 from quillspark.plans.registry import QUERIES
@@ -147,3 +148,11 @@ def test_pairs_that_share_one_term_are_not_stored(spark, sf_dir, monkeypatch):
     d = spark.createDataFrame([(1, "lamp lamp tree"), (1, "lamp tree"), (2, None), (3, "tree")], "doc_id long, text string")
     monkeypatch.setattr(plans, "load", lambda *a: d)
     assert sorted(map(tuple, plans._terms(spark, "").collect())) == [(1, "lamp"), (1, "tree"), (3, "tree")]
+
+
+def test_questions_are_dealt_out_and_their_terms_read_once(spark, sf_dir):
+    plan = QUERIES["f17_atomic_plans"](spark, sf_dir)._jdf.queryExecution()
+    assert "RepartitionByExpression [c_custkey" in plan.optimizedPlan().toString()
+    one = spark.createDataFrame([("Did my doctor call?",)], "q string").select(planner.plan(F.col("q")).alias("p"))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("[a-z0-9]+") <= 2  # of the question, and of what it counts
+    assert one.first().p.aliases == ["clinician", "physician"]
