@@ -27,17 +27,18 @@ def scored(claims: DataFrame, questions: DataFrame) -> DataFrame:
     )
     every = claims.withColumn("n", F.count("*").over(Window.partitionBy("question_id"))).join(asked, "question_id").withColumn("low", F.lower("text"))
     every = every.withColumn("shared", F.array_intersect("asked", L.terms(F.col("text"))))
-    each = every.select(*CLAIM, "n", F.explode("shared").alias("term"))
-    each = each.withColumn("df", F.count("*").over(Window.partitionBy("question_id", "term")))
-    lexical = each.groupBy(*CLAIM).agg(F.sum(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("lexical"))
+    weight = (F.log((F.max("n") + 1) / (F.count("*") + 1)) + 1).alias("weight")
+    each = every.select("question_id", "n", F.explode("shared").alias("term")).groupBy("question_id", "term").agg(weight)
+    weights = each.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))  # as many as the question has words
+    lexical = F.aggregate("shared", F.lit(0.0), lambda s, w: s + F.element_at("weights", w))
     user, helper = F.col("speaker") == "user", F.col("kind") == "single-session-assistant"
     phrase = 1.5 * F.size(F.filter("pairs", lambda p: F.contains(F.col("low"), p)))
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
     relevance = (
-        F.coalesce("lexical", F.lit(0.0)) + phrase + flag(F.col("number") & F.col("low").rlike(L.SAYS_NUMBER), 1.5) + flag(F.col("time") & F.col("low").rlike(L.SAYS_TIME), 1.0)
+        F.when(F.size("shared") > 0, lexical).otherwise(0.0) + phrase + flag(F.col("number") & F.col("low").rlike(L.SAYS_NUMBER), 1.5) + flag(F.col("time") & F.col("low").rlike(L.SAYS_TIME), 1.0)
         + flag(helper & (F.col("speaker") == "assistant"), 0.75) + flag(~helper & user, 0.25) + 1.0 / (1 + F.col("rank")) + flag(F.col("breadth") & (F.size("shared") > 0), 0.35)
     )
-    out = every.join(lexical, CLAIM, "left").withColumns(
+    out = every.join(weights, "question_id", "left").withColumns(
         {"mode": L.assertion_mode(F.col("text"), F.col("speaker")), "number_role": L.number_role(F.col("text")), "event_role": L.event_role(F.col("text")), "overlap": F.size("shared").cast("long"), "relevance": F.round(relevance, 6)}
     )
     number, event, operation = F.col("number_role"), F.col("event_role"), F.col("operation")
@@ -45,7 +46,7 @@ def scored(claims: DataFrame, questions: DataFrame) -> DataFrame:
     priority += F.when(F.col("mode").isin("completed", "current"), 1.0).when(F.col("mode").isin("planned", "hypothetical", "suggested"), -0.8).otherwise(0.0)
     priority += flag(operation == "aggregate", F.when(number == "cumulative_snapshot", 2.4).when(number == "delta", 1.5).when(number != "unknown", 0.8).otherwise(0.0))
     priority += flag((operation == "duration") & event.isin("start", "end"), 2.2) + flag((operation == "latest_state") & (event == "update"), 1.8)
-    return out.withColumn("priority", F.round(priority, 6)).drop("asked", "pairs", "number", "breadth", "time", "low", "shared", "lexical", "n")
+    return out.withColumn("priority", F.round(priority, 6)).drop("asked", "pairs", "number", "breadth", "time", "low", "shared", "weights", "n")
 
 
 def packed(claims: DataFrame, budget: int) -> DataFrame:

@@ -35,6 +35,8 @@ CLAIM = P.CLAIM
 def claim_rows(turns: DataFrame) -> DataFrame:
     """The clauses of turns, none twice for one session and speaker, with keys, kinds and polarities of what they state."""
     said = claim_units(S.squeezed(F.col("text")))
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = turns.repartition(parts, "question_id")  # what follows stays within a question; a turn is few bytes and much work
     each = turns.select(*(c for c in turns.columns if c != "text"), F.posexplode(said).alias("sentence", "text"))
     first = Window.partitionBy("question_id", "session", "speaker", F.lower("text")).orderBy("turn", "sentence")
     each = each.withColumn("same", F.row_number().over(first)).where("same = 1").drop("same")
@@ -89,7 +91,7 @@ def staged(c: DataFrame, found: DataFrame, budget: int) -> DataFrame:
         stage, F.when(stage == 0, F.col("rank")), F.when(stage == 1, F.col("nth")), F.when(stage == 2, F.col("at")), F.desc("score"), "rank", F.desc("date"), "turn", "session", "sentence"
     )
     c = c.withColumn("reason", reason).withColumn("place", F.row_number().over(order).cast("long")).withColumn("cost", T.token_estimate(F.col("text")) + P.FRAME_TOKENS)
-    return pack(c.drop("best", "nth", "at"), "question_id", "place", "cost", budget, first_always=True)
+    return pack(c.drop("best", "nth", "at", "topics", "kinds", "polarities"), "question_id", "place", "cost", budget, first_always=True)
 
 
 def _pieces(text: Column) -> Column:

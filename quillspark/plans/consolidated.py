@@ -69,7 +69,8 @@ def m14_evidence_packets(spark, d):
     """The packet of each question, and the share of its claims' tokens that packing leaves out."""
     c = settled(_ledger(spark, d))
     found = settled(O.groups(c))
-    rows = settled(O.trimmed(O.staged(c, found, BUDGET), found, BUDGET))
+    taken = settled(O.staged(c, found, BUDGET).where("taken"))  # read twice below, packed once
+    rows = settled(O.trimmed(taken, found, BUDGET))
     whole = c.groupBy("question_id").agg(F.sum(O.T.token_estimate(F.col("text")) + P.FRAME_TOKENS).alias("all_tokens"))
     got = O.packets(rows, found).join(whole, "question_id")
     return got.select("question_id", "claims", "sessions", "packed_tokens", "all_tokens", F.round(1 - F.col("packed_tokens") / F.col("all_tokens"), 6).alias("left_out"), "packet")

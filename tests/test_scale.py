@@ -156,3 +156,17 @@ def test_questions_are_dealt_out_and_their_terms_read_once(spark, sf_dir):
     one = spark.createDataFrame([("Did my doctor call?",)], "q string").select(planner.plan(F.col("q")).alias("p"))
     assert one._jdf.queryExecution().optimizedPlan().toString().count("[a-z0-9]+") <= 2  # of the question, and of what it counts
     assert one.first().p.aliases == ["clinician", "physician"]
+
+
+def test_claims_are_packed_once_and_scored_within_their_question(spark, sf_dir, monkeypatch):
+    from quillspark.plans import consolidated
+
+    stored = []
+    monkeypatch.setattr(consolidated, "settled", lambda df, keep=consolidated.settled: stored.append(keep(df)) or stored[-1])
+    assert QUERIES["m14_evidence_packets"](spark, sf_dir).count() > 0
+    packed = [df for df in stored if "taken" in df.columns and "line" not in df.columns]
+    assert len(packed) == 1 and packed[0].where("not taken").isEmpty()
+    turns = spark.createDataFrame([(1, "a", "2024-01-02", 0, 0, "user", "I love tea. I like desks.")], "question_id long, session string, date string, rank int, turn int, speaker string, text string")
+    asked = spark.createDataFrame([(1, "Which tea and desks?", "multi-session")], "question_id long, question string, kind string")
+    plan = consolidated.O.ledger(consolidated.O.claim_rows(turns), asked)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "sentence" in line]
