@@ -45,6 +45,24 @@ def test_scores_are_rounded_once(spark):
     assert [(r.id, r.score) for r in got] == [(1, 0.4665), (2, 0.4665)]
 
 
+def test_a_task_of_the_search_gives_the_best_of_all_its_blocks(spark, monkeypatch):
+    # scores rise from block to block, so that each has better rows than those before
+    v = spark.createDataFrame([(k, [1.0 + k]) for k in range(300)], "id long, v array<float>").coalesce(1)
+    made = []
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, *a, f=type(v).mapInArrow, **b: made.append(f(self, *a, **b)) or made[-1])
+
+    def searched():
+        got = vector.top_k(v.where("id % 20 = 0"), v, 5, block=16).collect()
+        assert made[-1].rdd.getNumPartitions() == 1
+        return sorted((r.query_id, r.rank, r.id, r.score) for r in got), made[-1].count()
+
+    want = [(q, r, 300 - r, (1.0 + q) * (301 - r)) for q in range(0, 300, 20) for r in range(1, 6)]
+    assert searched() == (want, 75)  # 1,425 before, from nineteen blocks
+    monkeypatch.setattr(vector, "HELD", 20)  # what goes beyond leaves the task early
+    got, left = searched()
+    assert got == want and left > 75
+
+
 def test_sums_of_scores_are_dealt_over_more_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"lamp {'tea ' * (k % 3)} word{k % 7}") for k in range(40)], "doc_id long, text string")
     items = spark.createDataFrame([(k, f"tea lamp word{k}") for k in range(5)], "item_id long, text string")
