@@ -209,30 +209,32 @@ def _claim_facts(id_: Column, claims: Column, date: Column) -> Column:
     return F.transform(claims, lambda c, k: fact(c, k))
 
 
-def compiled(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def compiled(turns: DataFrame, carried: tuple[str, ...] = (), dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """The facts (session_id, date, turn, unit, speaker, and the fields of a fact) and the coverage (session_id, turn, unit, unit_sha256, status, fact_ids).
 
     A statement's number is its object's first one.  Coverage names, for each
     unit, its own facts and the turn's statements that hold or are held by it.
+    ``carried``: columns of a turn that its facts have, too; ``dealt`` says that
+    the turns lie in as many tasks as they should, and stay where they are.
     """
-    rows = turns.where(F.col("role").isin(*ROLES)).select("session_id", F.col("date").cast("date").alias("date"), "turn", F.col("role").alias("speaker"), "text")
-    # a turn is few bytes and much work: dealt out, as splits of a file by bytes leave most cores idle
-    rows = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id", "turn")
+    rows = turns.where(F.col("role").isin(*ROLES)).select("session_id", F.col("date").cast("date").alias("date"), "turn", F.col("role").alias("speaker"), "text", *carried)
+    if not dealt:  # a turn is few bytes and much work: splits of a file by bytes leave most cores idle
+        rows = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id", "turn")
     rows = rows.withColumn("claims", S.stated_claims(F.col("text"), F.col("speaker")))
     rows = rows.withColumn("at", F.concat_ws("-", F.col("session_id").cast("string"), F.concat(F.lit("t"), F.col("turn").cast("string"))))
-    rows = rows.select("session_id", "date", "turn", "speaker", "at", _claim_facts(F.col("at"), F.col("claims"), F.col("date")).alias("stated"), units(F.col("text")).alias("units"))
+    rows = rows.select("session_id", "date", "turn", "speaker", "at", *carried, _claim_facts(F.col("at"), F.col("claims"), F.col("date")).alias("stated"), units(F.col("text")).alias("units"))
     # outer, then without the empty ones: an inner one asks first whether the array has anything, and so works it out three times
-    base = rows.select("session_id", "date", "turn", "speaker", "at", "stated", F.posexplode_outer("units").alias("unit", "said")).where("unit is not null")
+    base = rows.select("session_id", "date", "turn", "speaker", "at", *carried, "stated", F.posexplode_outer("units").alias("unit", "said")).where("unit is not null")
     unit, user = F.col("said"), F.col("speaker") == "user"
     base = base.withColumn("id", F.concat(F.col("at"), F.lit("-u"), F.col("unit").cast("string"))).withColumns({"numbers": Q.quantities_of(unit), "sort": _first(unit, KINDS, F.lit("other")), "meant": _first(unit, MEANT, F.lit("asserted"))})
     none = F.array().cast(f"array<{FACT}>")
     more = F.when(user, F.concat(_growth_fact(F.col("id"), unit), _member_facts(F.col("id"), unit))).otherwise(none)
     numbered = _number_facts(F.col("id"), unit, F.col("speaker"), F.col("sort"), F.col("meant"), F.col("numbers"))
-    found = base.select("session_id", "date", "turn", "speaker", "unit", "said", "stated", F.concat(numbered, more).alias("facts"))
+    found = base.select("session_id", "date", "turn", "speaker", *carried, "unit", "said", "stated", F.concat(numbered, more).alias("facts"))
     near = F.filter("stated", lambda f: F.contains(F.col("said"), f["excerpt"]) | F.contains(f["excerpt"], F.col("said")))
     ids = F.transform(F.concat("facts", near), lambda f: f["id"])
     coverage = found.select("session_id", "turn", "unit", F.sha2(F.col("said").cast("binary"), 256).alias("unit_sha256"), F.when(F.size(ids) > 0, "facts_extracted").otherwise("processed_no_fact").alias("status"), ids.alias("fact_ids"))
-    keys = ("session_id", "date", "turn", "speaker")
+    keys = ("session_id", "date", "turn", "speaker", *carried)
     of_units = found.select(*keys, "unit", F.inline_outer("facts")).where("id is not null")
     of_claims = rows.select(*keys, F.lit(None).cast("int").alias("unit"), F.inline_outer("stated")).where("id is not null")
     first = F.get(Q.quantities_of(F.col("object")), F.lit(0))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import statements as S
 from ..operators import atomic as K
 from ..operators import atoms as A
-from ..session import settled
 from ..sources.tables import load
 from .registry import query
 
@@ -176,15 +175,22 @@ QUESTIONS = ("How many bikes do I own now?", "What is the total price of the cas
 BUDGET = 400
 
 
+#: Turns that a task compiles and packs.
+TURNS_OF_A_TASK = 50_000
+
+
 def _pack(spark, d):
+    """Turns move once, to what is asked of their session, and are compiled and scored there."""
     turns = _order_turns(spark, d)
-    facts, _ = A.compiled(turns)
-    facts = facts.withColumn("owner", F.regexp_extract("session_id", "^[^-]*", 0).cast("long"))
     ask = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("c_custkey") % len(QUESTIONS)).cast("int") + 1)
     asked = load(spark, d, "customer").select(F.col("c_custkey").alias("question_id"), F.col("c_custkey").alias("owner"), ask.alias("question"))
     late = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("session_id"))) - 1
     ranks = turns.select("owner", "session_id").distinct().select(F.col("owner").alias("question_id"), "session_id", late.alias("rank"))
-    return K.packed(settled(K.scored(asked, facts, ranks)), BUDGET)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-turns.count() // TURNS_OF_A_TASK))
+    # merged, as turns that are few enough to be broadcast would be compiled by few tasks
+    rows = turns.repartition(tasks, "owner", "session_id").hint("merge").join(K.asked(asked, ranks), ["owner", "session_id"])
+    facts, _ = A.compiled(rows, ("question_id", "rank", *K.ASKED), dealt=True)
+    return K.packed(K.judged(facts, tasks), BUDGET, tasks)
 
 
 @query()

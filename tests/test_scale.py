@@ -1,6 +1,7 @@
 """Work that has to be spread, done once, or kept within bounds as tables grow."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,12 @@ def test_claims_are_packed_once_and_scored_within_their_question(spark, sf_dir,
     asked = spark.createDataFrame([(1, "Which tea and desks?", "multi-session")], "question_id long, question string, kind string")
     plan = consolidated.O.ledger(consolidated.O.claim_rows(turns), asked)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "sentence" in line]
+
+
+def test_facts_of_packs_move_without_their_texts_and_are_not_stored(spark, sf_dir):
+    for name in ("m11_compiled_pack", "m10_atomic_contracts"):
+        df = QUERIES[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert "ExistingRDD" not in plan
+        moved = [block for block in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", block.strip())]
+        assert moved and not [block for block in moved if re.search(r"\b(excerpt|object|qualifiers|words|terms)#", block)]
