@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import settled
+from . import idlists
 
-#: Walks of the last step that a task holds.
-WALKS = 2_000_000
+#: Pairs of the last step that a task counts, the most tasks, and nodes of which a task may hold all that get to one.
+WALKS, MOST_TASKS, HELD = 2_000_000, 20_000, 32_000_000
 #: Links of one list.
 LINKS = 4096
 
@@ -68,23 +69,44 @@ def distances(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
 def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
     """(node, reached): how many other nodes get to ``node`` along directed edges in 1 to ``depth`` steps; nodes that none gets to are left out.
 
-    The pairs of the last step, by far the most, are counted as they come: they
-    move once, to tasks whose number grows with them, and are never stored.
+    The pairs of the last step are by far the most, and no more than what gets
+    to a node's neighbours in a step less.  So only these are worked out, for
+    nodes that lead on, and written down once as short lists (``idlists``) beside
+    the lists of where those nodes lead; the lists move to each of these and are
+    counted as they come, by tasks whose number grows with the pairs.  Of a node
+    that more than ``HELD`` could reach, a task counts a part.  Ids are whole
+    numbers.
     """
-    e = settled(edges.where("src <> dst").select("src", "dst").distinct())
-    seen = edge = e.select(F.col("dst").alias("node"), F.col("src").alias("source"))
-    for step in range(depth - 1):
-        far = edge.join(e.select(F.col("dst").alias("source"), F.col("src").alias("far")), "source").where("far <> node").select("node", F.col("far").alias("source"))
-        if step == depth - 2:
-            walks = edge.groupBy("source").agg(F.count("*").alias("n")).join(e.groupBy(F.col("dst").alias("source")).agg(F.count("*").alias("m")), "source").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-            parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-walks // WALKS))
-            seen = seen.unionByName(far).repartition(parts, "node", "source").distinct()
-            break
-        edge = settled(far.distinct().join(seen, ["node", "source"], "left_anti"))
-        if edge.isEmpty():
-            break
-        seen = seen.unionByName(edge)
-    return seen.groupBy("node").agg(F.count("*").alias("reached"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    sorted_out = e.withColumn("part", F.lit(0)).repartition(parts, "src").sortWithinPartitions("src", "part", "dst")
+    out = idlists.as_lists(sorted_out, "src", "part", "dst").select(F.col("src").alias("node"), F.col("items").alias("to"), F.col("n").alias("m"))
+    leads = out.select("node").distinct()
+    near = leads.withColumn("source", F.col("node"))
+    if depth > 1:
+        one = e.repartition(parts, "dst").distinct().select(F.col("dst").alias("node"), F.col("src").alias("source")).join(leads, "node", "left_semi")
+        one = one if depth < 4 else settled(one)  # what gets to a node that leads on, leads on
+        seen = edge = one
+        for step in range(depth - 2):
+            far = edge.join(one.select(F.col("node").alias("source"), F.col("source").alias("far")), "source").where("far <> node").select("node", F.col("far").alias("source"))
+            if step < depth - 3:
+                edge = settled(far.distinct().join(seen, ["node", "source"], "left_anti"))
+                if edge.isEmpty():
+                    break
+                far = edge
+            seen = seen.unionByName(far)
+        near = near.unionByName(seen)
+    sources = e.agg(F.approx_count_distinct("src")).first()[0]
+    blocks = 1 + sources // HELD
+    block = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
+    lists = idlists.as_lists(near.withColumn("part", block).repartition(parts, "node").sortWithinPartitions("node", "part", "source"), "node", "part", "source")
+    state = settled(lists.join(out, "node").select("part", "items", "to", "n", "m"))
+    walks = state.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(parts, min(MOST_TASKS, -(-walks // WALKS)))
+    moved = idlists.sent(state, "to", "node", "part").repartition(tasks, "node", "part").sortWithinPartitions("node", "part")
+    found = idlists.counted(moved, "node", "part")
+    found = found.groupBy("node").agg(F.sum("n").alias("n")) if blocks > 1 else found
+    return found.select("node", F.col("n").alias("reached"))
 
 
 def bounded_reach(edges: DataFrame, depth: int = 3, limit: int = 160) -> DataFrame:

@@ -1,6 +1,7 @@
 """Work that has to be spread, done once, or kept within bounds as tables grow."""
 
 import math
+import random
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import planner
 from quillspark.operators import atoms as A
-from quillspark.operators import graph, lexical, paths, vector
+from quillspark.operators import graph, idlists, lexical, paths, vector
 from quillspark.plans.registry import QUERIES
 
 HALVES = (1.6391499999999999, 1.6392499999999999, 1.6393499999999999, 1.6394499999999999, 1.6395499999999998)
@@ -198,3 +199,52 @@ def test_facts_of_packs_move_without_their_texts_and_are_not_stored(spark, sf_di
         assert "ExistingRDD" not in plan
         moved = [block for block in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", block.strip())]
         assert moved and not [block for block in moved if re.search(r"\b(excerpt|object|qualifiers|words|terms)#", block)]
+
+
+def reached(edges, depth):
+    into = {}
+    for a, b in edges:
+        if a != b:
+            into.setdefault(b, set()).add(a)
+    out = {}
+    for v in into:
+        seen, at = set(), {v}
+        for _ in range(depth):
+            at = {x for y in at for x in into.get(y, ())} - seen - {v}
+            seen |= at
+        out[v] = len(seen)
+    return out
+
+
+def test_pairs_of_the_last_step_move_as_lists(spark, monkeypatch):
+    moved = []
+    monkeypatch.setattr(idlists, "counted", lambda df, *a, f=idlists.counted: moved.append(df) or f(df, *a))
+    edges = [(k, 1000) for k in range(200)] + [(1000, 2000 + k) for k in range(50)]
+    got = {r.node: r.reached for r in graph.blast_radius(spark.createDataFrame(edges, "src long, dst long"), 3).collect()}
+    assert got == reached(edges, 3) and got[2007] == 201
+    assert moved[0].count() < 400  # rows; the pairs are 10,250
+
+
+@pytest.mark.parametrize("held, most, size", [(10**6, 1024, 1 << 20), (7, 2, 9)])
+def test_lists_are_cut_and_counted_in_parts(spark, monkeypatch, held, most, size):
+    for where, name, value in ((graph, "HELD", held), (graph, "WALKS", 50), (idlists, "LIST", most), (idlists, "BYTES", size), (idlists, "PENDING", 3)):
+        monkeypatch.setattr(where, name, value)
+    r = random.Random(5)
+    nodes = [*range(25), -1, -(2**62), 2**62, 2**40]
+    edges = [(r.choice(nodes), r.choice(nodes)) for _ in range(90)] + [(3, None), (None, 4)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for depth in (1, 2, 3, 4):
+        want = reached([e for e in edges if None not in e], depth)
+        assert {x.node: x.reached for x in graph.blast_radius(df, depth).collect()} == want
+    assert graph.blast_radius(df.limit(0)).count() == 0
+
+
+def test_what_was_shuffled_for_a_checkpoint_is_removed(spark):
+    from quillspark.session import settled
+
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    was = set(re.findall(r"\d+", kept.keys().toString()))
+    rows = settled(df)
+    assert set(re.findall(r"\d+", kept.keys().toString())) <= was
+    assert rows.count() == df.count() == len(settled(df).collect()) == len(df.collect()) == 7
