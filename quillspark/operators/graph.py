@@ -66,6 +66,12 @@ def distances(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
     return seen
 
 
+def _links(edges: DataFrame, parts: int) -> DataFrame:
+    """(node, to, m): where a node leads, as lists, and how many each holds."""
+    e = edges.withColumn("part", F.lit(0)).repartition(parts, "src").sortWithinPartitions("src", "part", "dst")
+    return idlists.as_lists(e, "src", "part", "dst").select(F.col("src").alias("node"), F.col("items").alias("to"), F.col("n").alias("m"))
+
+
 def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
     """(node, reached): how many other nodes get to ``node`` along directed edges in 1 to ``depth`` steps; nodes that none gets to are left out.
 
@@ -74,14 +80,13 @@ def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
     nodes that lead on, and written down once as short lists (``idlists``) beside
     the lists of where those nodes lead; the lists move to each of these and are
     counted as they come, by tasks whose number grows with the pairs.  Of a node
-    that more than ``HELD`` could reach, a task counts a part.  Ids are whole
-    numbers.
+    that more than ``HELD`` could reach, a task counts a part.  What would move
+    more than the bytes of a round goes in rounds.  Ids are whole numbers.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    sorted_out = e.withColumn("part", F.lit(0)).repartition(parts, "src").sortWithinPartitions("src", "part", "dst")
-    out = idlists.as_lists(sorted_out, "src", "part", "dst").select(F.col("src").alias("node"), F.col("items").alias("to"), F.col("n").alias("m"))
-    leads = out.select("node").distinct()
+    to = _links(e, parts)
+    leads = to.select("node").distinct()
     near = leads.withColumn("source", F.col("node"))
     if depth > 1:
         one = e.repartition(parts, "dst").distinct().select(F.col("dst").alias("node"), F.col("src").alias("source")).join(leads, "node", "left_semi")
@@ -100,13 +105,18 @@ def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
     blocks = 1 + sources // HELD
     block = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
     lists = idlists.as_lists(near.withColumn("part", block).repartition(parts, "node").sortWithinPartitions("node", "part", "source"), "node", "part", "source")
-    state = settled(lists.join(out, "node").select("part", "items", "to", "n", "m"))
+    state = settled(lists.join(to, "node").select("part", "items", "to", "n", "m"))
     walks = state.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    tasks = max(parts, min(MOST_TASKS, -(-walks // WALKS)))
-    moved = idlists.sent(state, "to", "node", "part").repartition(tasks, "node", "part").sortWithinPartitions("node", "part")
-    found = idlists.counted(moved, "node", "part")
-    found = found.groupBy("node").agg(F.sum("n").alias("n")) if blocks > 1 else found
-    return found.select("node", F.col("n").alias("reached"))
+    rounds = idlists.rounds(state, idlists.MOVED)
+    tasks = max(parts, min(MOST_TASKS, -(-walks // (WALKS * rounds))))
+    out = None
+    for k in range(rounds):
+        moved = idlists.sent(state, "to", "node", "part", rounds, k).repartition(tasks, "node", "part").sortWithinPartitions("node", "part")
+        found = idlists.counted(moved, "node", "part")
+        found = found.groupBy("node").agg(F.sum("n").alias("n")) if blocks > 1 else found
+        found = settled(found) if rounds > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out.select("node", F.col("n").alias("reached"))
 
 
 def bounded_reach(edges: DataFrame, depth: int = 3, limit: int = 160) -> DataFrame:
@@ -138,22 +148,30 @@ def reach_estimates(edges: DataFrame, depth: int = 3, lg_k: int = 11) -> DataFra
     A node's sketch takes 2 ** ``lg_k`` bytes at most, whatever it stands for, and errs by some 1.04 / 2 ** (lg_k / 2).
     The first step sketches plain nodes.  After it a sketch moves only along edges
     whose source has grown in the step before, and a node that grows no more is
-    left where it was written.
+    left where it was written.  Edges are kept as lists of where a node leads
+    (``idlists``), so ids are whole numbers; what would move more than the bytes
+    of a round goes in rounds.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = settled(edges.where("src <> dst").select("src", "dst").repartition(parts, "dst").distinct())
-    first = e.select("dst", F.explode(F.array("src", "dst")).alias("near")).groupBy("dst").agg(F.hll_sketch_agg(F.col("near").cast("long"), F.lit(lg_k)).alias("s"))
-    grown = settled(first.select(F.col("dst").alias("node"), "s"))
-    kept = None
-    for _ in range(depth - 1):
-        along = e.join(grown.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "s")
-        more = along.groupBy("node").agg(F.hll_union_agg("s").alias("more"))
-        new = settled(grown.join(more, "node").select("node", F.hll_union("s", "more").alias("s")))  # who grows in a step has grown in the one before
-        still = grown.join(new.select("node"), "node", "left_anti")
+    e = edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    to = _links(e, parts).groupBy("node").agg(F.collect_list("to").alias("to"), F.sum("m").alias("m"))
+    first = e.repartition(parts, "dst").select("dst", F.explode(F.array("src", "dst")).alias("near")).groupBy("dst").agg(F.hll_sketch_agg("near", F.lit(lg_k)).alias("s"))
+    grown = settled(first.select(F.col("dst").alias("node"), "s").join(to, "node", "left"))
+    about, kept = (F.hll_sketch_estimate("s") - 1).alias("reached"), None
+    for step in range(depth - 1):
+        state = grown.select(F.explode("to").alias("to"), F.lit(0).alias("part"), F.col("s").alias("items"))
+        rounds, new = idlists.rounds(grown.select("m", F.col("s").alias("items")), idlists.UNITED), None
+        go_on = ["to", "m"] if step < depth - 2 else []
+        for k in range(rounds):
+            more = idlists.sent(state, "to", "node", "part", rounds, k).groupBy("node").agg(F.hll_union_agg("items").alias("more"))
+            here = grown.where(F.pmod("node", F.lit(rounds)) == k).join(more, "node")  # who grows in a step has grown in the one before
+            part = settled(here.select("node", F.hll_union("s", "more").alias("s"), *go_on))
+            new = part if new is None else new.unionByName(part)
+        still = grown.select("node", about).join(new.select("node"), "node", "left_anti")
         kept = still if kept is None else kept.unionByName(still)
         grown = new
-    kept = grown if kept is None else kept.unionByName(grown)
-    return kept.select("node", (F.hll_sketch_estimate("s") - 1).alias("reached")).where("reached > 0")
+    last = grown.select("node", about)
+    return (last if kept is None else kept.unionByName(last)).where("reached > 0")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -10,7 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Bytes of lists that move in one round, and of sketches, which a task unites before they move; the files of a round are removed before the next.
+MOVED, UNITED = 4_000_000_000, 12_000_000_000
 #: Ids of one list; bytes of lists that are read at once; ids kept before they are made distinct.
 LIST, BYTES, PENDING = 1024, 1 << 20, 1 << 22
 
@@ -75,8 +78,11 @@ def as_lists(rows: DataFrame, key: str, part: str, item: str) -> DataFrame:
     return rows.select(key, part, item).mapInArrow(each, f"{key} long, {part} int, items binary, n long")
 
 
-def sent(rows: DataFrame, to: str, key: str, part: str) -> DataFrame:
-    """(key, part, items): the lists (items) of each row for every id in its list ``to``, which becomes the key; about ``BYTES`` are sent at once."""
+def sent(rows: DataFrame, to: str, key: str, part: str, of: int = 1, nth: int = 0) -> DataFrame:
+    """(key, part, items): what a row holds (items) for every id in its list ``to``, which becomes the key; about ``BYTES`` are sent at once.
+
+    Of ids in ``of`` rounds, those of round ``nth`` alone, by their remainder.
+    """
 
     def each(batches):
         for batch in batches:
@@ -84,7 +90,10 @@ def sent(rows: DataFrame, to: str, key: str, part: str) -> DataFrame:
             parts, lists = batch.column(part), batch.column("items").cast(pa.large_binary())
             ids, many = read(data, offsets)
             row = np.repeat(np.arange(batch.num_rows), many)
-            upto = np.cumsum(_bytes(lists)[1][1:][row] - _bytes(lists)[1][:-1][row] + 16)
+            if of > 1:
+                mine = ids % of == nth
+                ids, row = ids[mine], row[mine]
+            upto = np.cumsum(np.diff(_bytes(lists)[1])[row] + 16)
             begin = 0
             while begin < len(row):
                 end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + BYTES, "right")))
@@ -95,6 +104,14 @@ def sent(rows: DataFrame, to: str, key: str, part: str) -> DataFrame:
     return rows.select(to, part, "items").mapInArrow(each, f"{key} long, {part} int, items binary")
 
 
+def rounds(rows: DataFrame, most: int) -> int:
+    """In how many rounds the rows (items, and m, the ids in their list) are sent, each of about ``most`` bytes: a prime number, so that ids in steps fall into all of them."""
+    n = -(-(rows.agg(F.sum(F.col("m") * (F.octet_length("items") + 16))).first()[0] or 0) // most) or 1
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def _different(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group's number and an id, each once, sorted; groups are in order."""
     low = ids.min()

@@ -248,3 +248,22 @@ def test_what_was_shuffled_for_a_checkpoint_is_removed(spark):
     rows = settled(df)
     assert set(re.findall(r"\d+", kept.keys().toString())) <= was
     assert rows.count() == df.count() == len(settled(df).collect()) == len(df.collect()) == 7
+
+
+def test_lists_and_sketches_move_in_rounds(spark, monkeypatch):
+    r = random.Random(9)
+    edges = [(r.randrange(40), r.randrange(40)) for _ in range(120)] + [(k, 50) for k in range(40)] + [(50, 60 + k) for k in range(9)] + [(7, None)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = reached([e for e in edges if None not in e], 3)
+    near = {x.node: x.reached for x in graph.reach_estimates(df, 3).collect()}
+    stored = []
+    monkeypatch.setattr(graph, "settled", lambda df, keep=graph.settled: stored.append(keep(df)) or stored[-1])
+    monkeypatch.setattr(idlists, "MOVED", 1500)
+    monkeypatch.setattr(idlists, "UNITED", 1500)
+    assert {x.node: x.reached for x in graph.blast_radius(df, 3).collect()} == want
+    assert len([x for x in stored if x.columns == ["node", "part", "n"]]) > 2
+    stored.clear()
+    assert {x.node: x.reached for x in graph.reach_estimates(df, 3).collect()} == near
+    assert near.keys() == want.keys() and all(abs(near[v] - n) <= 0.05 * n for v, n in want.items())
+    assert len([x for x in stored if "s" in x.columns]) > 4
+    assert not [x for x in stored if {"src", "dst"} & set(x.columns)]  # edges are kept as lists
