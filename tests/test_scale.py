@@ -267,3 +267,31 @@ def test_lists_and_sketches_move_in_rounds(spark, monkeypatch):
     assert near.keys() == want.keys() and all(abs(near[v] - n) <= 0.05 * n for v, n in want.items())
     assert len([x for x in stored if "s" in x.columns]) > 4
     assert not [x for x in stored if {"src", "dst"} & set(x.columns)]  # edges are kept as lists
+
+
+def test_terms_of_many_documents_group_them(spark, monkeypatch):
+    from quillspark.plans import paths as plans
+
+    rows = [(k, f"lamp tree river own{k}") for k in range(300)] + [(400 + k, f"lamp tree river stone{k} cloud{k} field{k} house{k}") for k in range(3)] + [(500, "lamp apple"), (501, "lamp apple"), (502, "lamp"), (503, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(plans, "load", lambda *a: d)
+    got = {r.doc_id: (r.grp, r.size) for r in plans.c02_lexical_groups(spark, "").collect()}
+    assert got == {**dict.fromkeys([*range(300), 400, 401, 402], (0, 303)), 500: (500, 2), 501: (500, 2)}
+
+
+@pytest.mark.parametrize("first, hubs, bound", [(6, 256, 10**6), (3, 2, 4), (0, 0, 1)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, first, hubs, bound):
+    for where, name, value in ((paths, "FIRST", first), (paths, "HUBS", hubs), (paths, "PAIRS", bound), (graph, "LINKS", bound)):
+        monkeypatch.setattr(where, name, value)
+    r = random.Random(hubs)
+    has = {k: {f"t{r.randrange(9) if r.random() < 0.1 else 10 + 7 * (k % 6) + r.randrange(7)}" for _ in range(r.randrange(1, 8))} for k in range(60)}
+    related = [(a, b) for a in has for b in has if a < b and ((n := len(has[a] & has[b])) >= 3 or n == 2 and n * 5 >= 2 * min(len(has[a]), len(has[b])))]
+    want = {k: k for k in has}
+    for _ in has:
+        for a, b in related:
+            want[a] = want[b] = min(want[a], want[b])
+    assert 5 < len(set(want.values())) < 50
+    terms = spark.createDataFrame([(k, t) for k, ts in has.items() for t in ts] + [(None, "t1"), (None, "t2"), (None, "t3"), (1, None), (1, min(has[1]))], "item long, term string")
+    got = {x.item: x.group for x in paths.related_groups(terms).collect()}
+    assert {k: g for k, g in want.items() if list(want.values()).count(g) > 1}.items() <= got.items()
+    assert all(want[k] == g for k, g in got.items())
